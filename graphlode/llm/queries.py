@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
+from graphlode.llm.language import op5_language_id
 from graphlode.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id}
 ORACLE: dict[str, str] = {}
