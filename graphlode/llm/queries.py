@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
+from graphlode.llm.bpe import op7_bpe
 from graphlode.llm.language import op5_language_id
 from graphlode.llm.quality import op2_quality_rules
 from graphlode.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_rules": op2_quality_rules, "op5_language_id": op5_language_id}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_rules": op2_quality_rules, "op5_language_id": op5_language_id, "op7_bpe": op7_bpe}
 ORACLE: dict[str, str] = {}
