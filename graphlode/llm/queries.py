@@ -2,9 +2,10 @@
 
 from graphlode.llm.bpe import op7_bpe
 from graphlode.llm.language import op5_language_id
+from graphlode.llm.neardup import op10_minhash_near_dedup
 from graphlode.llm.quality import op2_quality_rules
 from graphlode.llm.toxicity import op1_toxicity
 from graphlode.llm.unigram import op3_token_counts
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_rules": op2_quality_rules, "op3_token_counts": op3_token_counts, "op5_language_id": op5_language_id, "op7_bpe": op7_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality_rules": op2_quality_rules, "op3_token_counts": op3_token_counts, "op5_language_id": op5_language_id, "op7_bpe": op7_bpe, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE: dict[str, str] = {}
