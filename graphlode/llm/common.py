@@ -48,13 +48,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a worker's function gets at once: its arrays take a multiple of them.
+SLICE_BYTES = 6 << 20
+
+
+def slices(b: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most so many bytes of strings; a longer row is a run of its own."""
+    size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns if pa.types.is_string(c.type)), np.zeros(b.num_rows, np.int64))
+    at, total = 0, np.cumsum(size)
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow of a function from one batch to one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield fn(b)
+            yield from map(fn, slices(b))
 
     return df.mapInArrow(run, schema)
 
