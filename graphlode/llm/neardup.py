@@ -134,7 +134,7 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 def bitmap(values: DataFrame, column: str) -> bytes:
     """One bit for each value mod BITS: of fixed size (4 MB), whatever the number of values."""
-    v = F.pmod(F.col(column), F.lit(BITS))
+    v = F.pmod(F.col(column), F.lit(BITS)) + 1  # these functions count from 1
     rows = values.select(F.bitmap_bucket_number(v).alias("n"), F.bitmap_bit_position(v).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     out = bytearray(BITS // 8 + 4096)
     for r in rows:
