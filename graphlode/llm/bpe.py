@@ -174,21 +174,26 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids
     return common.map_batches(df.select(F.col(id_col).cast("bigint"), F.col(ids_col)), batch, "id bigint, text string")
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """Token count and digests of ids and of the decoded text, in one pass: ids of a text never leave the worker."""
+def digests(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Token count and digests of ids and of the decoded text, in one pass; the ids themselves only if asked for."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
-        n, a, d = [], [], []
+        n, a, d, kept = [], [], [], []
         for text in b.column(1):
             words = enc.pretokens(text.as_py() or "")
             ids = list(chain.from_iterable(map(enc.ids.__getitem__, words)))
             n.append(len(ids))
+            if with_ids:
+                kept.append(np.array(ids, np.int32))
             a.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, words)).encode()).hexdigest())
             d.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64)), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64)), pa.array(a, pa.string()), pa.array(d, pa.string()), *more], names)
 
-    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,3 +201,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return identify(docs, fit(docs)).select("doc_id", (common.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: Texts whose language is less sure than this are rejected by accepted(), as are those without a letter.
+MIN_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is known, with all columns; a null lang becomes the predicted one."""
+    cols = list(docs.columns)
+    mine = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(cols)])
+    out = identify(mine, model, mine.columns).where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE))
+    return out.select(*[F.coalesce(m, "lang_pred").alias(c) if c == "lang" else F.col(m).alias(c) for c, m in zip(cols, mine.columns)])
