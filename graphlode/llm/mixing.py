@@ -55,7 +55,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     w = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int")))
     level = (SHARE * F.sum("source_size").over(total) - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("w").over(rest)
     w = w.withColumn("level", level)
-    w = w.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= MOST * F.col("source_size"), F.col("level"))).over(total))
+    w = w.withColumn("place", F.row_number().over(full))
+    first = F.min(F.when(F.col("level") * F.col("w") <= MOST * F.col("source_size"), F.struct("place", "level"))).over(total)
+    w = w.withColumn("level", first["level"])
     return w.select("source", "source_size", F.least(F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w"), (MOST * F.col("source_size")).cast("double")).alias("target"))
 
 
@@ -129,9 +131,10 @@ WITH k AS (
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (ARRAY[3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM k GROUP BY source),
 l AS (
   SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) - CAST(2 * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
-    / CAST(sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+    / CAST(sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level,
+    row_number() OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST) AS place
   FROM s),
-t AS (SELECT source, source_size, least(coalesce(min(CASE WHEN level * w <= 2 * source_size THEN level END) OVER (), 0.0::DOUBLE) * w, CAST(2 * source_size AS DOUBLE)) AS target FROM l),
+t AS (SELECT source, source_size, least(coalesce((SELECT arg_min(level, place) FROM l WHERE level * w <= 2 * source_size), 0.0::DOUBLE) * w, CAST(2 * source_size AS DOUBLE)) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 p AS (
   SELECT k.*, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size AS rest,
