@@ -1,13 +1,38 @@
-"""A corpus pipeline of the operators in graphlode.llm: each stage takes what the one before it kept."""
+"""A corpus pipeline of the operators in graphlode.llm: each stage takes the documents that the one before it kept.
+
+Documents whose language isn't known go; lines that another document has (or has but for a word) are cut; of near duplicates one stays; sources
+are mixed to their target weights, so that a row may come twice; what is left is encoded, and decoded again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlode.llm import common
+from graphlode.llm import bpe, common, language, linededup, mixing, neardup
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs, language.fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, bpe.default_path(), with_ids=True)
+
 
-STAGES: list = []
-#: Language identification and tokenization can't be expressed in SQL; tests compare the stages with brute force.
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("bpe", encode)]
+#: SQL can't express the language and tokenizer stages; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
