@@ -105,9 +105,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").isNull().cast("int").alias("z"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("k"), F.xxhash64("text").alias("h"), "text")
 
 
-def variants(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """key, kind (0 a variant with its place, 1 the line, 2 a variant), lh, the line's place, and with kind 1 its words: of the lines in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def variants(docs: DataFrame, prefix: bytes, suffix: bytes) -> DataFrame:
+    """key, kind (0 a variant with its place, 1 the line, 2 a variant), lh, the line's place, and with kind 1 its words: of the lines in the bitmaps.
+
+    Where a line's first half is shared the edit is in the rest, where its last half is it is before that: only those words are deleted."""
+    shared = docs.sparkSession.sparkContext.broadcast((prefix, suffix))
     names = ["key", "kind", "lh", *KEY, "place", "words"]
 
     def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -115,19 +117,23 @@ def variants(docs: DataFrame, wanted: bytes) -> DataFrame:
         near = np.flatnonzero(ln.n >= NEAR_WORDS)
         lh = ln.whole(near).view(np.int64)
         v = np.mod(lh, neardup.BITS)
-        hit = np.frombuffer(shared.value, np.uint8)[v // 8] >> (v % 8).astype(np.uint8) & 1 > 0
-        near, lh = near[hit], lh[hit]
+        in_first, in_last = (np.frombuffer(x, np.uint8)[v // 8] >> (v % 8).astype(np.uint8) & 1 > 0 for x in shared.value)
+        hit = in_first | in_last
+        near, lh, in_first, in_last = near[hit], lh[hit], in_first[hit], in_last[hit]
         z, k, h = (b.column(i).to_numpy() for i in range(3))
         d = ln.doc[near]
         order = np.lexsort((ln.place[near], h[d], k[d], z[d], lh))
         order = order[np.append(True, lh[order][1:] != lh[order][:-1])] if len(order) else order
-        near, lh = near[order], lh[order]
+        near, lh, in_first, in_last = near[order], lh[order], in_first[order], in_last[order]
         step = max(1, int(2_000_000 // max(1, ln.n[near].max() if len(near) else 1)))
         for a in range(0, len(near), step):
             i, x = near[a : a + step], lh[a : a + step]
             n = ln.n[i]
             own = np.repeat(np.arange(len(i)), n)
             p = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            half = (n[own] - 1) // 2
+            keep = (in_first[a : a + step][own] & (p >= half)) | (in_last[a : a + step][own] & (p < n[own] - half))
+            own, p = own[keep], p[keep]
             line = i[own]
             at = ln.start[line] + p
             with np.errstate(over="ignore"):
@@ -182,10 +188,10 @@ def lines(docs: DataFrame) -> DataFrame:
     """z, k, h, place, near of each line that goes; near: it isn't a copy but has an earlier near line."""
     table = common.written(line_table(docs), "lines")
     first = table.groupBy("lh").agg(F.min(place_of()).alias("first"), F.count("*").alias("n"))
-    halves = table.select(F.explode("halves").alias("half"), "lh")
+    halves = table.select(F.posexplode("halves").alias("i", "half"), "lh", F.size("halves").alias("of")).select("half", "lh", (F.col("i") * 2 < F.col("of")).alias("prefix"))
     shared = halves.groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).where("a <> b").select("half")
-    found = neardup.bitmap(halves.join(shared, "half", "left_semi").select("lh"), "lh")
-    var = common.written(variants(docs, found), "variants")
+    found = common.written(halves.join(shared, "half", "left_semi").select("lh", "prefix").distinct(), "shared-halves")
+    var = common.written(variants(docs, *(neardup.bitmap(found.where(F.col("prefix") == side), "lh") for side in (True, False))), "variants")
 
     def least(kind: int) -> Column:
         return F.min(F.when(F.col("kind") == kind, place_of("lh")))
