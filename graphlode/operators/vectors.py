@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ def similar(vectors: DataFrame, items: DataFrame, node: str, k: int = 8, cross_t
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, digits: int = 6) -> DataFrame:
     """a, b, score for all pairs a < b (by row_idx) with score at the threshold or above.
 
-    Rows fall into blocks; each pair of blocks is one join key, so the work is spread evenly and no side is broadcast."""
-    n = blocks or max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Rows fall into blocks; each pair of blocks is one join key, so the work is spread evenly, no side is broadcast, and a row is
+    copied as often as there are blocks (by default the root of the number of shuffle partitions)."""
+    n = blocks or max(1, math.isqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     v = vectors.select("row_idx", "embedding", F.pmod(F.xxhash64("row_idx"), F.lit(n)).cast("int").alias("blk"))
     all_blocks = F.sequence(F.lit(0), F.lit(n - 1))
     left = v.select(F.col("row_idx").alias("a"), F.col("embedding").alias("va"), F.col("blk").alias("ba"), F.explode(all_blocks).alias("bb"))
