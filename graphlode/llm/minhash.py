@@ -30,7 +30,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
         for j in range(k):
             inside = pos + j < size[parents]
             nxt = np.zeros(len(w), np.uint64)
-            nxt[: len(w) - j or None] = w[j:]
+            nxt[: max(0, len(w) - j)] = w[j:]
             acc += np.where(inside, nxt, np.uint64(0)) * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
         acc = common.mix(acc)
     keep = (pos + k <= size[parents]) | ((pos == 0) & (size[parents] < k))
