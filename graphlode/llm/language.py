@@ -189,8 +189,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     def pred(s):
         import pandas as pd
 
-        langs, score = predict(shared.value, pa.array(s, pa.string(), from_pandas=True))
-        return pd.DataFrame({"lang_pred": langs, "score": score})
+        langs, score = [], []
+        for b in common.slices(pa.RecordBatch.from_arrays([pa.array(s, pa.string(), from_pandas=True)], ["text"])):
+            found = predict(shared.value, b.column(0))
+            langs += found[0]
+            score += found[1].tolist()
+        return pd.DataFrame({"lang_pred": langs, "score": pd.Series(score, dtype="float64")})
 
     name = "predicted_"
     while name in docs.columns:
