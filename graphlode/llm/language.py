@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlode.llm import common, subword
 
@@ -184,22 +185,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """lang_pred, score for the text of each row, after the columns named in keep (doc_id alone if None)."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("read"))
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def pred(s):
-        import pandas as pd
-
-        langs, score = [], []
-        for b in common.slices(pa.RecordBatch.from_arrays([pa.array(s, pa.string(), from_pandas=True)], ["text"])):
-            found = predict(shared.value, b.column(0))
-            langs += found[0]
-            score += found[1].tolist()
-        return pd.DataFrame({"lang_pred": langs, "score": pd.Series(score, dtype="float64")})
-
-    name = "predicted_"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, pred("text")).select(*[F.col(f"`{c}`") for c in keep], F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))
+    n, names = len(keep), [*rows.columns[: len(keep)], "lang_pred", "score"]
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        langs, score = predict(shared.value, b.column(n))
+        return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
+
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[: len(keep)]]
+    out = common.map_batches(rows, batch, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+#: Characters that are hashed at once; the arrays take about 80 bytes each.
+CHUNK = 500_000
 
 
 def normalise(words: pa.Array) -> pa.Array:
