@@ -56,10 +56,11 @@ def word_buckets(words: list[str], sizes: range, bits: int) -> tuple[np.ndarray,
     """Buckets of all n-grams, word by word, and the offsets of the words."""
     owner, bucket = [], []
     for a, _, h, ok, offsets in grams(words, sizes, bits):
-        owner.append(a + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[ok])
-        bucket.append(h[ok])
+        owner.append(a + np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[ok])
+        bucket.append(h[ok].astype(np.int32))
     if not owner:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     owner_, bucket_ = np.concatenate(owner), np.concatenate(bucket)
+    del owner, bucket
     order = np.argsort(owner_, kind="stable")
     return bucket_[order], np.searchsorted(owner_[order], np.arange(len(words) + 1))
