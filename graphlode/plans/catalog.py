@@ -311,8 +311,8 @@ def label_stats(spark, sf):
 MET = f"""{ranked_sql(GRID_SQL, 'id')}, {LABELS},
 h AS (SELECT r.qid, r.config_key, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS in10, sum(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END) AS dcg
   FROM r JOIN l ON l.qid = r.qid JOIN it ON it.id = r.node AND it.label = l.label GROUP BY r.qid, r.config_key),
-m AS (SELECT l.qid, g.config_key, CAST(l.grp AS VARCHAR) AS grp, l.product, l.field, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, coalesce(CAST(first <= 1 AS DOUBLE), 0) AS hit1, coalesce(CAST(first <= 5 AS DOUBLE), 0) AS hit5, coalesce(CAST(first <= 10 AS DOUBLE), 0) AS hit10,
-  round(coalesce(in10::DOUBLE / greatest(ng, 1), 0), 6) AS recall10, round(coalesce(dcg / list_sum(list_transform(range(1, greatest(least(ng, 10), 1) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0), 6) AS ndcg10
+m AS (SELECT l.qid, g.config_key, CAST(l.grp AS VARCHAR) AS grp, l.product, l.field, round(coalesce(1.0::DOUBLE / first, 0), 12) AS mrr, coalesce(CAST(first <= 1 AS DOUBLE), 0) AS hit1, coalesce(CAST(first <= 5 AS DOUBLE), 0) AS hit5, coalesce(CAST(first <= 10 AS DOUBLE), 0) AS hit10,
+  round(coalesce(in10::DOUBLE / greatest(ng, 1), 0), 12) AS recall10, round(coalesce(dcg / list_sum(list_transform(range(1, greatest(least(ng, 10), 1) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0), 12) AS ndcg10
   FROM l CROSS JOIN g LEFT JOIN h ON h.qid = l.qid AND h.config_key = g.config_key)"""
 AVGS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 
@@ -320,12 +320,12 @@ AVGS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 def measured(spark: SparkSession, sf: str) -> DataFrame:
     configs = grid_df(spark, GRID)
     r = ranking.rank(gathered(spark, sf), configs)
-    return metrics.per_query(r, hybrid_labels(spark, sf), configs)
+    return metrics.per_query(r, hybrid_labels(spark, sf), configs, digits=12)
 
 
-@query(f"WITH {MET} SELECT * FROM m")
+@query(f"WITH {MET} SELECT qid, config_key, grp, product, field, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM m")
 def metrics_per_query(spark, sf):
-    return measured(spark, sf).drop("seq")
+    return measured(spark, sf).select("qid", "config_key", "grp", "product", "field", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
 @query(f"WITH {MET} SELECT config_key, count(*) AS n, {AVGS} FROM m GROUP BY config_key")
