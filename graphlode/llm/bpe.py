@@ -29,8 +29,8 @@ from graphlode.llm import common
 
 #: Pre-tokens of the byte-level pre-tokenizer. \s here is Unicode's White_Space, as in the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens whose ids a worker keeps; the whole is dropped when it is full.
-CACHE = 400_000
+#: Pre-tokens whose ids, and pairs of tokens whose compatibility, a worker keeps; the whole is dropped when it is full.
+CACHE, PAIRS = 200_000, 700_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,7 +59,7 @@ class Encoder:
             self.merged[vocab[a], vocab[b]] = t
             if self.rank[t] < 0:
                 self.left[t], self.right[t], self.rank[t] = vocab[a], vocab[b], rank
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.size = {i: len(b) for i, b in self.bytes.items()}
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, tuple[int]] = {}
@@ -101,11 +101,11 @@ class Encoder:
                 if not start:
                     last[end] = t
                 elif (p := last[start]) >= 0:
-                    ok = known.get((p, t))
+                    ok = known.get(p << 20 | t)
                     if ok is None:
-                        if len(known) > 2_000_000:
+                        if len(known) > PAIRS:
                             known.clear()
-                        ok = known[p, t] = self._apart(p, t, float("inf"))
+                        ok = known[p << 20 | t] = self._apart(p, t, float("inf"))
                     if ok:
                         last[end] = t
         out, at = [], len(s)

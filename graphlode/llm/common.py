@@ -68,7 +68,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from map(fn, slices(b))
+            for part in slices(b):
+                yield fn(part)
+                pa.default_memory_pool().release_unused()  # workers live on after their task
 
     return df.mapInArrow(run, schema)
 
