@@ -1,10 +1,15 @@
 """MinHash near-duplicates by a containment ensemble.
 
-Two texts are linked if the larger shingle set is contained in the smaller one by at least THRESHOLD (so the smaller is by as much in
-the larger: a short text inside many long ones doesn't chain these together). Texts are partitioned by the
-size of their shingle set; in each partition the containment threshold becomes the least Jaccard similarity that sizes in
-it allow, and bands and rows are tuned for that. A text also queries the partition below where a partner may lie. Candidates are
-checked exactly on their shingle sets.
+Two texts are linked if the smaller shingle set is contained in the larger one by at least THRESHOLD, whatever their sizes. A link is
+mutual if the larger is by as much in the smaller; mutual links merge their texts into one core. Other links don't merge: a core with a text
+that stands in a longer one joins the class of one container (of several, that whose core has the largest text), so a short text
+inside many long ones doesn't chain these together. A core never joins one whose largest text isn't larger than its own.
+
+Mutual links: texts are partitioned by the size of their shingle set; in each partition the containment threshold becomes the least Jaccard
+similarity that sizes in it allow, and bands and rows are tuned for that. A text also queries the partition below where a partner may lie.
+Links of any sizes: each text asks with its PROBES least shingles which texts have them. These are all of a small set, whose links are exact;
+of a larger set at least PROBES_HIT are in a container with a chance of 0.98, and enough of the rarest are followed that one of them is.
+Candidates are checked exactly on their shingle sets.
 
 Equal texts are one class from the start and take part once. In a band's bucket every text is compared with the bucket's
 first one; a text that isn't linked to it is then compared with all the bucket's texts. So a pair is left unchecked only if both are
@@ -12,7 +17,7 @@ linked to a common third text: classes lose no link, and the work in a bucket of
 
 Defined results: null and empty texts are equal (one class, no links); texts of fewer words than a shingle are one shingle;
 texts of symbols count their words as they are; repeated rows and ids are copies of one class; a class is named by its least
-id that isn't null (null if it has none); extra columns are ignored by classes() and kept by keep_one(); empty tables give empty results.
+id that isn't null (null if it has none), and the row kept is that of the least id in the core that contains the others; extra columns are ignored by classes() and kept by keep_one(); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ RECALL, MAX_BANDS, MAX_HASHES = 0.95, 40, 200
 #: Partition p holds sizes from RATIO**p up to RATIO**(p+1).
 RATIO = 4
 BITS = 1 << 25
+#: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(12, 0.75) >= 6) = 0.986.
+PROBES, PROBES_HIT = 12, 6
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -82,7 +89,7 @@ def band_keys(sig: np.ndarray, sizes: np.ndarray, t: float = THRESHOLD) -> list[
 
 
 def signed(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """doc_id, th (digest of the text), size of the shingle set, bucket keys; of equal texts in a batch only the first has keys."""
+    """doc_id, th (digest of the text), size of the shingle set, bucket keys, probes; of equal texts in a batch only the first has keys."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         th = b.column(1)
@@ -92,14 +99,15 @@ def signed(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
         off, sh = minhash.shingle_sets(b.column(2).take(pa.array(at)))
         sizes = np.diff(off)
         keys = band_keys(minhash.signatures(off, sh, MAX_HASHES), sizes, t)
-        size, lists = np.full(b.num_rows, -1), [None] * b.num_rows
+        size, lists, probes = np.full(b.num_rows, -1), [None] * b.num_rows, [None] * b.num_rows
         size[at] = sizes
-        for i, k in zip(at, keys):
+        for i, k, o in zip(at, keys, off):
             lists[i] = k
-        return pa.RecordBatch.from_arrays([b.column(0), th, pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "th", "size", "keys"])
+            probes[i] = sh[o : o + min(PROBES, size[i])].view(np.int64)  # sorted hashes: a random sample
+        return pa.RecordBatch.from_arrays([b.column(0), th, pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "th", "size", "keys", "probes"])
 
     text = F.coalesce("text", F.lit(""))
-    return common.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "doc_id bigint, th binary, size int, keys array<bigint>")
+    return common.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "doc_id bigint, th binary, size int, keys array<bigint>, probes array<bigint>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -198,19 +206,80 @@ def links_of(docs: DataFrame, reps: DataFrame, t: float = THRESHOLD) -> DataFram
     return common.written(first.where("linked").select("a", "b").unionByName(verified(rest, sets, t).where("linked").select("a", "b")), "links")
 
 
+def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
+    """s, th: the texts that have each shingle of probes (s). Two bitmaps of fixed size let few other shingles through; a join leaves them out."""
+    high = F.shiftrightunsigned("s", 19)
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(probes, "s"), bitmap(probes.select(high.alias("s")), "s")))
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.sort(np.unique(common.encode(b.column(0))[0], return_index=True)[1])
+        off, sh = minhash.shingle_sets(b.column(1).take(pa.array(at)))
+        keep = np.ones(len(sh), bool)
+        for raw, v in zip(shared.value, (sh, sh >> np.uint64(19))):
+            v = (v % np.uint64(BITS)).astype(np.int64)
+            keep &= (np.frombuffer(raw, np.uint8)[v // 8] >> (v % 8).astype(np.uint8) & 1).astype(bool)
+        owner = np.repeat(at, np.diff(off))[keep]
+        return pa.RecordBatch.from_arrays([pa.array(sh[keep].view(np.int64)), b.column(0).take(pa.array(owner))], ["s", "th"])
+
+    text = F.coalesce("text", F.lit(""))
+    some = common.map_batches(docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "s bigint, th binary")
+    return some.dropDuplicates(["s", "th"]).join(probes.select("s").distinct(), "s", "left_semi")
+
+
+def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """a, b, mutual: links of a text a and one b that isn't smaller, of different cores (node, root)."""
+    nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left")
+    nodes = common.written(nodes.withColumn("root", F.coalesce("root", "th")), "nodes")
+    index = common.written(holders(docs, nodes.select(F.explode("probes").alias("s"))), "holders")
+    often = index.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    known = nodes.select("th", "root", "size", F.explode("probes").alias("s")).join(often, "s").groupBy("th", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
+    whole = F.col("size") <= PROBES
+    asks = known.where(F.size("s") >= F.when(whole, F.col("size") * t - 1e-9).otherwise(PROBES_HIT))
+    # the rarest are followed: so many that at most PROBES_HIT - 1 are left; a small set counts all, which is its overlap
+    asks = asks.select(F.col("th").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.explode(F.when(whole, F.col("s")).otherwise(F.slice("s", 1, PROBES - PROBES_HIT + 1))).alias("s"))
+    asks = common.written(asks, "asks")
+    held = index.join(asks.select("s").distinct(), "s", "left_semi").join(nodes.select("th", "root", "size"), "th")
+    held = held.select("s", F.col("th").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
+    larger = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
+    met = asks.join(held, "s").where((F.col("ra") != F.col("rb")) & larger).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    met = common.written(met.where((F.col("na") > PROBES) | (F.col("hits") >= F.col("na") * t - 1e-9)), "met")
+    small = met.where(F.col("na") <= PROBES).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    open_ = met.where(F.col("na") > PROBES)
+    ends = open_.select(F.col("a").alias("th")).unionByName(open_.select(F.col("b").alias("th"))).distinct()
+    sets = common.written(shingle_table(docs, common.written(nodes.select("th", "rep").join(ends, "th", "left_semi"), "wanted")), "sets")
+    both = open_.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.withColumn("hits", F.size(F.array_intersect("sa", "sb"))).where(F.col("hits") >= F.col("na") * t - 1e-9)
+    return common.written(small.unionByName(both.select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))), "contained")
+
+
 def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, th, class_id, n_links, class_size, n_same of each row.
 
     n_links: links recorded between the row's text and different texts; n_same: rows of the same id and text."""
     sig = common.written(signed(docs, t), "signed")
-    reps = sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"))
+    reps = sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"), F.max("size").alias("size"), F.first("probes", ignorenulls=True).alias("probes"))
     links = links_of(docs, reps, t)
-    ends = links.select(F.col("a").alias("th")).unionByName(links.select(F.col("b").alias("th"))).groupBy("th").agg(F.count("*").alias("n_links"))
+    cores = components(links)
+    found = contained(docs, reps, cores, t)
+    mutual, inside = found.where("mutual").select("a", "b"), found.where(~F.col("mutual")).select("a", "b")
+    if not mutual.isEmpty():
+        links = links.unionByName(mutual)
+        cores = components(links)
+    every = links.unionByName(inside)
+    ends = every.select(F.col("a").alias("th")).unionByName(every.select(F.col("b").alias("th"))).groupBy("th").agg(F.count("*").alias("n_links"))
     rows = sig.groupBy("th", "doc_id").agg(F.count("*").alias("n_same"))
-    by_text = rows.groupBy("th").agg(F.min("doc_id").alias("rep"), F.sum("n_same").alias("n_text"))
-    roots = by_text.join(components(links).withColumnRenamed("node", "th"), "th", "left").join(ends, "th", "left")
-    roots = common.written(roots.select("th", "rep", "n_text", F.coalesce("root", "th").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "roots")
-    names = roots.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_text").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "th"))["th"].alias("kept_th"))
+    by_text = sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_text"), F.max("size").alias("size"))
+    roots = by_text.join(cores.withColumnRenamed("node", "th"), "th", "left").join(ends, "th", "left")
+    roots = common.written(roots.select("th", "rep", "n_text", "size", F.coalesce("root", "th").alias("core"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "roots")
+    tops = roots.groupBy("core").agg(F.max("size").alias("top"))
+    at = roots.select("th", "core").join(tops, "core")
+    sides = [at.select(F.col("th").alias(x), F.struct("top", "core").alias(f"{x}_core")) for x in "ab"]
+    into = inside.join(sides[0], "a").join(sides[1], "b").where("a_core.top < b_core.top").groupBy(F.col("a_core.core").alias("a")).agg(F.max("b_core")["core"].alias("b"))
+    into = common.written(into, "into")
+    # each core joins at most one with a larger text: the components are trees, and each has one core that joins none
+    roots = roots.join(components(into).withColumnRenamed("node", "core"), "core", "left").join(into.select(F.col("a").alias("core"), F.lit(True).alias("held")), "core", "left")
+    roots = common.written(roots.select("th", "rep", "n_text", F.coalesce("root", "core").alias("root"), F.coalesce("held", F.lit(False)).alias("held"), "n_links"), "roots")
+    names = roots.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_text").alias("class_size"), F.min(F.struct("held", F.col("rep").isNull(), "rep", "th"))["th"].alias("kept_th"))
     per_text = roots.join(names, "root").select("th", "class_id", "n_links", "class_size", "kept_th", "rep")
     out = rows.join(per_text, "th")
     kept = (F.col("th") == F.col("kept_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))

@@ -221,6 +221,20 @@ def test_banding_reaches_its_recall():
         assert 1 - (1 - j**rows) ** bands >= neardup.RECALL and bands * rows <= neardup.MAX_HASHES
 
 
+def test_near_dedup_links_contained_texts(spark):
+    rng = random.Random(7)
+    long = [[f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (60, 300, 900, 3000, 90, 90, 90)]
+    license = [f"l{i}" for i in range(14)]
+    rows = [(10 + i, " ".join(w if i < 4 else w[:40] + license + w[40:])) for i, w in enumerate(long)]
+    # wholly inside, by sizes of 1.3 to 600 times; the license inside three that stay apart; 29 of 38 shingles inside
+    rows += [(0, " ".join(long[0][5:50])), (1, " ".join(long[1][20:60])), (2, " ".join(long[2][:18])), (3, " ".join(long[3][7:14])), (4, " ".join(license)), (5, " ".join(long[1][100:131] + [f"n{i}" for i in range(9)]))]
+    got = {r["doc_id"]: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got[i]["class_id"] for i in (10, 11, 12, 13)} == {10: 0, 11: 1, 12: 2, 13: 3} and got[5]["class_id"] == 1
+    assert len({got[i]["class_id"] for i in (14, 15, 16)}) == 3 and got[4]["class_id"] in [got[i]["class_id"] for i in (14, 15, 16)]
+    assert got[4]["n_links"] == 3 and got[11]["n_links"] == 2 and got[14]["n_links"] == 1
+    assert sorted(i for i, r in got.items() if r["kept"]) == list(range(10, 17))
+
+
 # --- fingerprints -----------------------------------------------------------
 
 
