@@ -52,7 +52,7 @@ def jaccard_floor(low: int, high: int, t: float) -> float:
 @lru_cache(maxsize=256)
 def banding(p: int, t: float = THRESHOLD) -> tuple[int, int]:
     """(bands, rows) of partition p: most rows a band that keep RECALL at its Jaccard threshold."""
-    j = jaccard_floor(RATIO**p, RATIO ** (p + 1), t)
+    j = jaccard_floor(RATIO**p, math.ceil(RATIO ** (p + 1) / t), t)  # larger texts query it up to there
     best = (MAX_BANDS, 1)
     for rows in range(1, 13):
         need = 1 if j >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - j**rows))

@@ -235,6 +235,20 @@ def test_near_dedup_links_contained_texts(spark):
     assert sorted(i for i, r in got.items() if r["kept"]) == list(range(10, 17))
 
 
+def test_near_dedup_three_shingles_in_four(spark):
+    rows = [(2 * i + j, " ".join(f"s{i}x{k}" for k in range(5 + j))) for i in range(40) for j in range(2)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert found_classes(got) == [[2 * i, 2 * i + 1] for i in range(40)]
+
+
+def test_banding_covers_the_sizes_that_query():
+    for p in range(8):
+        bands, rows = neardup.banding(p)
+        for larger in range(4**p, min(-(-(4 ** (p + 1)) * 4 // 3), 4**p + 200)):
+            shared = -(-3 * larger // 4)
+            assert 1 - (1 - (shared / (2 * larger - shared)) ** rows) ** bands >= neardup.RECALL
+
+
 # --- fingerprints -----------------------------------------------------------
 
 
