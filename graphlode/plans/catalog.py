@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlode.config import METRICS
+from graphlode.config import METRICS, Settings
 from graphlode.functions import rng
 from graphlode.functions import text as tx
 from graphlode.operators import bm25, cluster, embed, graph, ingest, metrics, ranking, splits, vectors
@@ -19,7 +19,9 @@ from graphlode.operators import labels as lb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-CAND, THETA = 50, 0.35
+CAND, THETA = Settings.candidates, 0.35
+#: The SQL's number of candidates, not the queries': tests put CAND in its place.
+SQL_CAND = 50
 GRID = ranking.expand_grid(signals=("vector", "bm25", "linear", "rrf"), alphas=(0.25, 0.5))
 
 
@@ -73,8 +75,8 @@ bt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 
 IT = "it AS (SELECT d.doc_id AS id, d.text, d.source, d.lang, e.embedding::DOUBLE[] AS v, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
 QS = "q AS (SELECT id AS qid, string_split(text, chr(10))[1] AS query, v AS qv, source AS product, lang AS field, label FROM it WHERE id % 20 = 0)"
-VT = f"vt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(list_inner_product(v, qv), 6) AS score FROM it, q)) WHERE rank <= {CAND})"
-CAND_SQL = f"{IT}, {QS}, {VT}, {bm25_sql('it', 'q', CAND)}, c AS (SELECT coalesce(vt.qid, bt.qid) AS qid, coalesce(vt.id, bt.id) AS id, vt.score AS vs, vt.rank AS vr, bt.score AS bs, bt.rank AS br, coalesce(vt.rank, {CAND} + bt.rank) AS arrival FROM vt FULL JOIN bt ON vt.qid = bt.qid AND vt.id = bt.id)"
+VT = f"vt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(list_inner_product(v, qv), 6) AS score FROM it, q)) WHERE rank <= {SQL_CAND})"
+CAND_SQL = f"{IT}, {QS}, {VT}, {bm25_sql('it', 'q', SQL_CAND)}, c AS (SELECT coalesce(vt.qid, bt.qid) AS qid, coalesce(vt.id, bt.id) AS id, vt.score AS vs, vt.rank AS vr, bt.score AS bs, bt.rank AS br, coalesce(vt.rank, {SQL_CAND} + bt.rank) AS arrival FROM vt FULL JOIN bt ON vt.qid = bt.qid AND vt.id = bt.id)"
 NORM = """cn AS (SELECT *, coalesce((vs - min(vs) OVER w) / coalesce(nullif(max(vs) OVER w - min(vs) OVER w, 0), 1), 0) AS nv,
   coalesce((bs - min(bs) OVER w) / coalesce(nullif(max(bs) OVER w - min(bs) OVER w, 0), 1), 0) AS nb FROM c WINDOW w AS (PARTITION BY qid))"""
 GRID_SQL = "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {a}::DOUBLE, {r}, '{p}', {i})" for k, _, s, a, r, p, i in GRID) + ") t(config_key, signal, alpha, rrf_k, pool, place))"

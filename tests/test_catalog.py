@@ -29,6 +29,19 @@ def test_against_sql(spark, name):
     assert rows[0] == rows[1]
 
 
+@pytest.mark.parametrize("name", ["candidates_fullouter", "rank_rrf", "rank_vector", "rank_bm25", "pool_sum", "metrics_overall"])
+def test_all_candidates(spark, name):
+    """200 candidates a signal, as the reference has; the registered SQL takes fewer."""
+    assert catalog.CAND == 200
+    sql, few = catalog.ORACLE[name], catalog.SQL_CAND
+    assert f"{few} + bt.rank" in sql and sql.count(f"rank <= {few})") == 2
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    want = duck().sql(sql.replace(f"{few} + bt.rank", "200 + bt.rank").replace(f"rank <= {few})", "rank <= 200)")).df()
+    cols = sorted(want.columns)
+    rows = [sorted(map(repr, x[cols].astype(object).values.tolist())) for x in (got, want)]
+    assert rows[0] == rows[1]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
