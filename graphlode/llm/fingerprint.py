@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,10 @@ PERMUTATIONS = 128
 SAMPLE = 20_000
 #: Texts are fingerprinted so many at a time.
 STEP = 2000
-BANDS, ROWS = 32, 4
+#: Least chance that a pair at pairs()' threshold shares a band, and most hash functions there.
+RECALL, MAX_HASHES = 0.95, 200
+#: The texts of a band's bucket are dealt to blocks of about so many; each pair of blocks is a task's key.
+BLOCK = 200
 
 
 def minima(texts: pa.Array) -> np.ndarray:
@@ -114,16 +118,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_order(docs, parts).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): most rows a band that keep RECALL at the threshold; one row where MAX_HASHES don't reach it."""
+    best = (MAX_HASHES, 1)
+    for rows in range(1, 13):
+        need = 1 if threshold >= 1 else math.ceil(math.log(1 - RECALL) / math.log1p(-(threshold**rows)))
+        if need * rows <= MAX_HASHES:
+            best = (need, rows)
+    return best
+
+
 def pairs(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """a, b, jaccard: ids (the least of each distinct text) of different texts that share a band and whose Jaccard similarity reaches the threshold.
 
-    For each bucket the candidates are its texts against its first one, and against all others those that aren't as like it as the threshold."""
+    Every pair that shares a band is checked; a pair right at the threshold shares one with a chance of RECALL at least, for thresholds of 0.0149
+    and more. A group of n near copies has n (n - 1) / 2 pairs, and all are in the result."""
+    bands, rows = banding(threshold)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         off, sh = minhash.shingle_sets(b.column(2))
-        sig, sizes = minhash.signatures(off, sh, BANDS * ROWS).astype(np.uint64).reshape(-1, BANDS, ROWS), np.diff(off)
-        h = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * common.GOLDEN
-        for r in range(ROWS):
+        sig, sizes = minhash.signatures(off, sh, bands * rows).astype(np.uint64).reshape(-1, bands, rows), np.diff(off)
+        h = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * common.GOLDEN
+        for r in range(rows):
             h = common.mix(h ^ sig[:, :, r])
         keys = [row.view(np.int64) if s else np.zeros(0, np.int64) for row, s in zip(h, sizes)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "keys"])
@@ -131,19 +147,18 @@ def pairs(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = common.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "doc_id bigint, th binary, keys array<bigint>")
     reps = common.written(keyed.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    multi = common.written(neardup.buckets(reps), "buckets")
+    multi = common.written(neardup.buckets(reps).select("key", "th"), "buckets")
     sets = common.written(neardup.shingle_table(docs, common.written(reps.join(multi.select("th").distinct(), "th", "left_semi").select("th", "rep"), "wanted")), "sets")
-
-    def checked(p: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return p.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-
-    first = common.written(checked(multi.where("th <> pivot").select(F.col("th").alias("a"), F.col("pivot").alias("b")).distinct()), "first")
-    failed = first.where(F.col("jaccard") < threshold).select(F.col("a").alias("th"), F.col("b").alias("pivot"))
-    odd = multi.join(failed, ["th", "pivot"], "left_semi").select("key", F.col("th").alias("x"))
-    rest = odd.join(multi, "key").where(F.col("x") != F.col("th")).select(F.greatest("x", "th").alias("a"), F.least("x", "th").alias("b")).distinct()
-    found = first.unionByName(checked(rest.join(first, ["a", "b"], "left_anti"))).where(F.col("jaccard") >= threshold)
+    # each text goes to its block's pairs with all blocks of the bucket: a bucket of any size is spread over tasks
+    blocks = multi.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = multi.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "th", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    x = dealt.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("th").alias("a"))
+    y = dealt.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("th").alias("b"))
+    met = common.written(x.join(y, ["key", "i", "j"]).where(F.col("a") > F.col("b")).select("a", "b").distinct(), "met")
+    left, right = sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = met.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
     ids = reps.select("th", "rep")
     return found.join(ids.select(F.col("th").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("th").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "jaccard")
 

@@ -289,3 +289,22 @@ def test_pairs_and_small_tables(spark, none):
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "only one")], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprint.fingerprints(none).count() == 0
+
+
+def test_pairs_of_a_group_are_all_there(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}" if j == 10 * i else w for j, w in enumerate(base))) for i in range(12)]
+    rows += [(100 + i, " ".join(w if j < 150 else f"y{i}{rng.randrange(9**9)}" for j, w in enumerate(base))) for i in range(12)]
+    got = {frozenset((r["a"], r["b"])): r["jaccard"] for r in fingerprint.pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    off, sh = minhash.shingle_sets(pa.array([r[1] for r in rows]))
+    sets = {r[0]: set(sh[off[i] : off[i + 1]].tolist()) for i, r in enumerate(rows)}
+    want = {frozenset(x): len(sets[x[0]] & sets[x[1]]) / len(sets[x[0]] | sets[x[1]]) for x in itertools.combinations(sets, 2)}
+    alike = {k: v for k, v in want.items() if v >= 0.75}
+    assert len(alike) >= 66 and alike.keys() <= got.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+def test_fingerprint_bands_reach_their_recall():
+    for t in (0.05, 0.2, 0.5, 0.8, 0.95):
+        bands, rows = fingerprint.banding(t)
+        assert 1 - (1 - t**rows) ** bands >= fingerprint.RECALL and bands * rows <= fingerprint.MAX_HASHES
