@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding by dynamic programming over prefixes.
 
-Within a pre-token, every prefix has one BPE encoding, so it has one last token. A suffix automaton over the vocabulary
-(Aho-Corasick) names the tokens that end at each byte; the one that is compatible with the last token of the prefix
+Within a pre-token, every prefix has one BPE encoding, so it has one last token. An Aho-Corasick automaton over the vocabulary (in
+place of a suffix automaton: the matches are the same) names the tokens that end at each byte; the one that is compatible with the last token of the prefix
 before it is stored, and following these tokens back from the end gives exactly the ids that merging by rank would.
 Two tokens are compatible if no merge that BPE would do earlier crosses their border.
 
+A batch is cut at its spaces into chunks (a space before anything but white space always begins a pre-token), each distinct chunk
+is encoded once, and ids, decimal digits and bytes of the texts are gathered from those of the chunks in Arrow.
+
 Defined results: null and empty texts have no tokens; texts of any length are encoded whole, in linear time; the string of an added
 token is that token; repeated rows and ids give repeated rows; extra columns are dropped; an empty table gives an empty result.
 Lone surrogates can't occur in Parquet strings.
@@ -14,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
@@ -21,6 +26,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +35,11 @@ from graphlode.llm import common
 
 #: Pre-tokens of the byte-level pre-tokenizer. \s here is Unicode's White_Space, as in the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens whose ids, and pairs of tokens whose compatibility, a worker keeps; the whole is dropped when it is full.
-CACHE, PAIRS = 200_000, 700_000
+WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Where texts are cut into chunks, unless they hold added tokens.
+CUT = regex.compile(r" (?=\P{White_Space})")
+#: Pre-tokens whose ids a worker keeps (beyond that, those of the batch before; longer ones than LONG aren't kept), and pairs of tokens whose compatibility it keeps.
+CACHE, LONG, PAIRS = 600_000, 48, 700_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,7 +69,7 @@ class Encoder:
             if self.rank[t] < 0:
                 self.left[t], self.right[t], self.rank[t] = vocab[a], vocab[b], rank
         self.known: dict[int, bool] = {}
-        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.size = [len(self.bytes.get(i, b"")) for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, tuple[int]] = {}
         special = set(self.added.values())
@@ -71,8 +80,17 @@ class Encoder:
         self.automaton.make_automaton()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.decimal: dict[str, str] = {}
+        #: texts that can't be cut at every space
+        self.odd = f" [{WHITE}]" + "".join("|" + re.escape(x) for x in self.added)
+        #: kept pre-tokens: place of each in the arrays of ids and of ends
+        self.kept: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q")
+        self.recent: set[str] = set()
+        tokens = [self.bytes.get(i, b"") for i in range(n)]
+        self.as_bytes = pa.array(tokens, pa.large_binary())
+        self.n_bytes = np.fromiter(map(len, tokens), np.int64, n)
+        self.as_decimal = pa.array([b"%d," % i for i in range(n)], pa.large_binary())
+        self.n_decimal = np.fromiter((len(str(i)) + 1 for i in range(n)), np.int64, n)
 
     def _apart(self, a: int, b: int, before: float) -> bool:
         """Whether no merge ranked lower than `before`, nor one done before a or b is whole, crosses the border of a and b."""
@@ -114,33 +132,105 @@ class Encoder:
             at -= size[last[at]]
         return tuple(reversed(out))
 
-    def pretokens(self, text: str) -> list[str]:
-        """Pre-tokens and added tokens of a text, all with ids in self.ids and self.decimal."""
-        if self.split and any(s in text for s in self.added):
-            parts: Iterable[str] = self.split.split(text)
-            out = [x for p in parts for x in ([p] if p in self.added else self.words.findall(p))]
-        else:
-            out = self.words.findall(text)
-        new = set(out).difference(self.ids)
-        if new:
-            if len(self.ids) > CACHE:
-                self.ids.clear()
-                self.decimal.clear()
-                new = set(out)
-            for w in new:
-                # an added token's string can't be a pre-token: the split takes them all
-                ids = (self.added[w],) if w in self.added else self._word(w.encode("utf-8", "surrogatepass").decode("latin-1"))
-                self.ids[w], self.decimal[w] = ids, ",".join(map(str, ids))
+    def _parts(self, text: str) -> list[str]:
+        """A text in pieces that are pre-tokenized on their own: added tokens, and the rest cut at spaces."""
+        parts: Iterable[str] = self.split.split(text) if self.split and any(x in text for x in self.added) else [text]
+        out: list[str] = []
+        for p in parts:
+            if p in self.added:
+                out.append(p)
+            elif p:
+                first, *more = CUT.split(p)
+                out += [first, *(" " + x for x in more)] if first else (" " + x for x in more)
         return out
 
+    def _places(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pre-tokens of all parts in the kept ids, and how many each part has."""
+        find, added = self.words.findall, self.added
+        # a part has at most one leading space before a letter: with ASCII letters alone it is one pre-token
+        cut = [[p] if p.isascii() and p.lstrip(" ").isalpha() or p in added else find(p) for p in parts]
+        every = list(chain.from_iterable(cut))
+        now = set(every)
+        if len(self.kept) > CACHE:
+            self._keep({w for w in now | self.recent if w in self.kept and len(w) <= LONG})
+        for w in now.difference(self.kept):
+            # an added token's string can't be a pre-token: the split takes them all
+            self.flat.extend((added[w],) if w in added else self._word(w.encode("utf-8", "surrogatepass").decode("latin-1")))
+            self.kept[w] = len(self.ends)
+            self.ends.append(len(self.flat))
+        self.recent = now
+        return np.fromiter(map(self.kept.__getitem__, every), np.int64, len(every)), np.fromiter(map(len, cut), np.int64, len(cut))
+
+    def _keep(self, words: set[str]) -> None:
+        flat, ends, kept = array("i"), array("q"), {}
+        for w in words:
+            k = self.kept[w]
+            flat.extend(self.flat[self.ends[k - 1] if k else 0 : self.ends[k]])
+            kept[w] = len(ends)
+            ends.append(len(flat))
+        self.flat, self.ends, self.kept = flat, ends, kept
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all texts (null: empty), the n + 1 offsets of the texts among them, and the decimal ids of each text with a comma after each."""
+        texts = common.texts_of(texts)
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain, own = np.flatnonzero(~odd), [self._parts(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        codes, distinct = common.encode(lists.flatten())
+        strings = distinct.to_pylist()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        # no space goes before the first chunk of a text
+        at = np.cumsum(sizes) - sizes
+        firsts, back = np.unique(codes[at], return_inverse=True) if len(at) else (codes[:0], codes[:0])
+        codes = codes.astype(np.int64)
+        codes[at] = len(strings) + back
+        known: dict[str, int] = {}
+        mine = [[known.setdefault(p, len(known)) for p in parts] for parts in own]
+        base = len(strings) + len(firsts)
+        parts = [*(" " + x for x in strings), *(strings[i] for i in firsts), *known]
+        count = np.zeros(n, np.int64)
+        count[plain], count[odd] = sizes, [len(x) for x in mine]
+        order = np.empty(count.sum(), np.int64)
+        is_odd = np.repeat(odd, count)
+        order[~is_odd] = codes
+        order[is_odd] = np.fromiter(chain.from_iterable(mine), np.int64) + base if mine else order[:0]
+        places, per_part = self._places(parts)
+        kept = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.frombuffer(self.ends, np.int64)])), pa.array(np.frombuffer(self.flat, np.int32)))
+        words = kept.take(pa.array(places))
+        ids = words.flatten()
+        ends = np.concatenate([[0], np.cumsum(per_part)])
+        edges = words.offsets.to_numpy()[ends] - words.offsets[0].as_py()
+        of_text = pa.array(order)
+        taken = pa.LargeListArray.from_arrays(pa.array(edges), ids).take(of_text)
+        text_ends = np.concatenate([[0], np.cumsum(count)])
+        offsets = taken.offsets.to_numpy()[text_ends] - taken.offsets[0].as_py()
+        digits = joined(self.as_decimal, self.n_decimal, ids, edges).take(of_text)
+        _, ends_, data = digits.buffers()
+        decimal = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.frombuffer(ends_, np.int64)[digits.offset :][text_ends].copy()), data])
+        if len(self.kept) > CACHE:
+            self._keep({w for w in self.recent if len(w) <= LONG})
+        return taken.flatten().to_numpy(), offsets, decimal
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of the tokens of each text, joined."""
+        return joined(self.as_bytes, self.n_bytes, pa.array(ids), offsets)
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.pretokens(text or ""))))
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that aren't UTF-8 become replacement characters."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def joined(tokens: pa.Array, sizes: np.ndarray, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """What stands for the ids between neighbouring offsets, joined: large_binary."""
+    total = np.concatenate([[0], np.cumsum(sizes[ids.to_numpy()])])
+    got = tokens.take(ids)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(total[offsets]), got.buffers()[2]])
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
@@ -157,9 +247,8 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id, ids array<int> of each row."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(path)
-        ids = [enc.encode(t) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        ids, offsets, _ = encoder(path).encode_all(b.column(1))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["id", "ids"])
 
     return common.map_batches(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), batch, "id bigint, ids array<int>")
 
@@ -180,17 +269,13 @@ def digests(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
-        n, a, d, kept = [], [], [], []
-        for text in b.column(1):
-            words = enc.pretokens(text.as_py() or "")
-            ids = list(chain.from_iterable(map(enc.ids.__getitem__, words)))
-            n.append(len(ids))
-            if with_ids:
-                kept.append(np.array(ids, np.int32))
-            a.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, words)).encode()).hexdigest())
-            d.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-        more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64)), pa.array(a, pa.string()), pa.array(d, pa.string()), *more], names)
+        ids, offsets, decimal = enc.encode_all(b.column(1))
+        decoded = enc.decode_all(ids, offsets)
+        sha = hashlib.sha256
+        of_ids = [sha(memoryview(x.as_buffer())[:-1]).hexdigest() for x in decimal]
+        of_text = [sha(bytes(memoryview(x.as_buffer())).decode("utf-8", "replace").encode()).hexdigest() for x in decoded]
+        more = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))] if with_ids else []
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *more], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema)
