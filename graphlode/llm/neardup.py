@@ -7,9 +7,13 @@ inside many long ones doesn't chain these together. A core never joins one whose
 
 Mutual links: texts are partitioned by the size of their shingle set; in each partition the containment threshold becomes the least Jaccard
 similarity that sizes in it allow, and bands and rows are tuned for that. A text also queries the partition below where a partner may lie.
-Links of any sizes: each text asks with its PROBES least shingles which texts have them. These are all of a small set, whose links are exact;
-of a larger set at least PROBES_HIT are in a container with a chance of 0.98, and enough of the rarest are followed that one of them is.
-Candidates are checked exactly on their shingle sets.
+Links of any sizes: the Jaccard threshold of a text against a partition of much larger ones falls until bands have one row, that is, single
+shingles. Each text then asks with its PROBES least shingles which texts have them. These are all of a small set, whose links are exact;
+of a larger set at least PROBES_HIT are in a container with a chance of 0.98. A probe that only the text's own core has is a miss, and so many of the
+other ones, rarest first, are followed that a container of PROBES_HIT has one of them. Lists of a shingle name cores, not texts: a group of n near
+copies is one entry. Cores that have enough of all probes are met text by text; the text with the most probes is checked first, and if it
+is linked the link stands for the core.
+Candidates are checked exactly on their sets of shingles (44-bit hashes).
 
 Equal texts are one class from the start and take part once. In a band's bucket every text is compared with the bucket's
 first one; a text that isn't linked to it is then compared with all the bucket's texts. So a pair is left unchecked only if both are
@@ -35,12 +39,14 @@ from graphlode.llm import common, minhash
 
 THRESHOLD = 0.75
 #: Least chance that a pair at its partition's Jaccard threshold shares a bucket, and most bands and hash functions.
-RECALL, MAX_BANDS, MAX_HASHES = 0.95, 40, 200
+RECALL, MAX_BANDS, MAX_HASHES = 0.95, 40, 100
 #: Partition p holds sizes from RATIO**p up to RATIO**(p+1).
 RATIO = 4
+#: Bits of the bitmap that thins candidates of one pass, and least and most bits of those that thin shingles (16 for each, if that is between).
 BITS = 1 << 25
-#: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(12, 0.75) >= 6) = 0.986.
-PROBES, PROBES_HIT = 12, 6
+LEAST_BITS, MOST_BITS = 25, 28
+#: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(32, 0.75) >= 19) = 0.985.
+PROBES, PROBES_HIT = 32, 19
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -140,11 +146,11 @@ def buckets(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, th binary, pivot binary")
 
 
-def bitmap(values: DataFrame, column: str) -> bytes:
-    """One bit for each value mod BITS: of fixed size (4 MB), whatever the number of values."""
-    v = F.pmod(F.col(column), F.lit(BITS)) + 1  # these functions count from 1
+def bitmap(values: DataFrame, column: str, bits: int = BITS) -> bytes:
+    """One bit for each value mod bits: of fixed size (4 MB), whatever the number of values, unless other bits are asked for."""
+    v = F.pmod(F.col(column), F.lit(bits)) + 1  # these functions count from 1
     rows = values.select(F.bitmap_bucket_number(v).alias("n"), F.bitmap_bit_position(v).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = bytearray(BITS // 8 + 4096)
+    out = bytearray(bits // 8 + 4096)
     for r in rows:
         at = (r["n"] - 1) * 4096
         out[at : at + 4096] = r["bits"]
@@ -152,7 +158,7 @@ def bitmap(values: DataFrame, column: str) -> bytes:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """th, shingles array<int> of the texts in wanted (th, rep). A bitmap of fixed size lets few other texts through; a join leaves them out."""
+    """th, shingles of the texts in wanted (th, rep). A bitmap of fixed size lets few other texts through; a join leaves them out."""
     h = F.xxhash64("th", "rep")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(h.alias("h")), "h"))
 
@@ -161,12 +167,11 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         v = np.mod(b.column(0).to_numpy(), BITS)
         at = np.flatnonzero(bits[v // 8] >> (v % 8).astype(np.uint8) & 1)
         off, sh = minhash.shingle_sets(b.column(2).take(pa.array(at)))
-        short = (sh >> np.uint64(12)).astype(np.uint32).view(np.int32)
-        return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(short))], ["th", "shingles"])
+        return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sh.view(np.int64)))], ["th", "shingles"])
 
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    some = common.map_batches(keyed.select(h.alias("h"), "th", "text"), batch, "th binary, shingles array<int>")
+    some = common.map_batches(keyed.select(h.alias("h"), "th", "text"), batch, "th binary, shingles array<bigint>")
     return some.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"])
 
 
@@ -207,19 +212,22 @@ def links_of(docs: DataFrame, reps: DataFrame, t: float = THRESHOLD) -> DataFram
 
 
 def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """s, th: the texts that have each shingle of probes (s). Two bitmaps of fixed size let few other shingles through; a join leaves them out."""
-    high = F.shiftrightunsigned("s", 19)
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(probes, "s"), bitmap(probes.select(high.alias("s")), "s")))
+    """s, th: the texts that have each shingle of probes (s). Two bitmaps let few other shingles through; a join leaves them out."""
+    n = probes.count()
+    width = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits, shift = 1 << width, 44 - width
+    # by the low bits, and by the high ones: large texts ask with low shingles only, so the upper part of the second is sparse
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(probes, "s", bits), bitmap(probes.select(F.shiftrightunsigned("s", shift).alias("s")), "s", bits)))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         at = np.sort(np.unique(common.encode(b.column(0))[0], return_index=True)[1])
         off, sh = minhash.shingle_sets(b.column(1).take(pa.array(at)))
-        keep = np.ones(len(sh), bool)
-        for raw, v in zip(shared.value, (sh, sh >> np.uint64(19))):
-            v = (v % np.uint64(BITS)).astype(np.int64)
-            keep &= (np.frombuffer(raw, np.uint8)[v // 8] >> (v % 8).astype(np.uint8) & 1).astype(bool)
-        owner = np.repeat(at, np.diff(off))[keep]
-        return pa.RecordBatch.from_arrays([pa.array(sh[keep].view(np.int64)), b.column(0).take(pa.array(owner))], ["s", "th"])
+        owner, one = np.repeat(at, np.diff(off)), np.uint64(1)
+        for raw, right in zip(shared.value, (0, shift)):
+            v = (sh >> np.uint64(right)) & np.uint64(bits - 1)
+            keep = (np.frombuffer(raw, np.uint8)[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8) & one.astype(np.uint8)).astype(bool)
+            sh, owner = sh[keep], owner[keep]
+        return pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), b.column(0).take(pa.array(owner))], ["s", "th"])
 
     text = F.coalesce("text", F.lit(""))
     some = common.map_batches(docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "s bigint, th binary")
@@ -227,29 +235,44 @@ def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """a, b, mutual: links of a text a and one b that isn't smaller, of different cores (node, root)."""
+    """a, b, ra, rb, mutual: links of a text a (core ra) and one b (core rb) that isn't smaller, of different cores (node, root)."""
     nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left")
     nodes = common.written(nodes.withColumn("root", F.coalesce("root", "th")), "nodes")
     index = common.written(holders(docs, nodes.select(F.explode("probes").alias("s"))), "holders")
-    often = index.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    two = index.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    placed = common.written(index.join(two, "s", "left_semi").join(nodes.select("th", "root", "size"), "th"), "placed")
+    lists = common.written(placed.groupBy("s", F.col("root").alias("rb")).agg(F.max("size").alias("top")), "lists")
+    often = lists.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     known = nodes.select("th", "root", "size", F.explode("probes").alias("s")).join(often, "s").groupBy("th", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
-    whole = F.col("size") <= PROBES
-    asks = known.where(F.size("s") >= F.when(whole, F.col("size") * t - 1e-9).otherwise(PROBES_HIT))
-    # the rarest are followed: so many that at most PROBES_HIT - 1 are left; a small set counts all, which is its overlap
-    asks = asks.select(F.col("th").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.explode(F.when(whole, F.col("s")).otherwise(F.slice("s", 1, PROBES - PROBES_HIT + 1))).alias("s"))
-    asks = common.written(asks, "asks")
-    held = index.join(asks.select("s").distinct(), "s", "left_semi").join(nodes.select("th", "root", "size"), "th")
-    held = held.select("s", F.col("th").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
-    larger = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-    met = asks.join(held, "s").where((F.col("ra") != F.col("rb")) & larger).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    met = common.written(met.where((F.col("na") > PROBES) | (F.col("hits") >= F.col("na") * t - 1e-9)), "met")
-    small = met.where(F.col("na") <= PROBES).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
-    open_ = met.where(F.col("na") > PROBES)
-    ends = open_.select(F.col("a").alias("th")).unionByName(open_.select(F.col("b").alias("th"))).distinct()
+    need = F.when(F.col("size") <= PROBES, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
+    asks = known.withColumn("need", need).where(F.size("s") >= F.col("need"))
+    asks = common.written(asks.select(F.col("th").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
+    follow = asks.select("a", "ra", "na", "need", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
+    met = follow.join(lists, "s").where((F.col("ra") != F.col("rb")) & (F.col("top") >= F.col("na"))).select("a", "rb", "need").distinct()
+    met = common.written(met, "met")
+    # how many probes each core that was met has
+    every = met.join(asks.select("a", F.explode("s").alias("s")), "a").join(lists.select("s", "rb"), ["s", "rb"])
+    enough = common.written(every.groupBy("a", "rb", "need").agg(F.count("*").alias("hits")).where("hits >= need").select("a", "rb"), "enough")
+    own = placed.join(enough.select(F.col("rb").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("th").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb")).agg(F.collect_list("s").alias("sb"))
+    both = enough.join(asks, "a").join(own, "rb").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
+    both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "ra", "na", "b", "rb", "nb", "hits")
+    both = common.written(both, "by-text")
+    small = (F.col("na") <= PROBES).alias("small")  # their probes are all of their shingles
+    best = both.groupBy("a", "ra", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "ra", "na", "rb", "m.*")
+    exact = best.where(small).select("a", "b", "ra", "rb", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    large = both.where(~small)
+    ends = large.select(F.col("a").alias("th")).unionByName(large.select(F.col("b").alias("th"))).distinct()
     sets = common.written(shingle_table(docs, common.written(nodes.select("th", "rep").join(ends, "th", "left_semi"), "wanted")), "sets")
-    both = open_.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.withColumn("hits", F.size(F.array_intersect("sa", "sb"))).where(F.col("hits") >= F.col("na") * t - 1e-9)
-    return common.written(small.unionByName(both.select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))), "contained")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        sa, sb = sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb"))
+        got = pairs.join(sa, "a").join(sb, "b").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
+        return got.select("a", "b", "ra", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+
+    first = common.written(checked(best.where(~small)), "first")
+    open_ = first.where(~F.col("linked")).select("a", "rb", F.col("b").alias("tried"))
+    rest = checked(large.join(open_, ["a", "rb"]).where(F.col("b") != F.col("tried")).drop("tried"))
+    return common.written(exact.unionByName(first.where("linked").drop("linked")).unionByName(rest.where("linked").drop("linked")), "contained")
 
 
 def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -261,16 +284,16 @@ def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     links = links_of(docs, reps, t)
     cores = components(links)
     found = contained(docs, reps, cores, t)
-    mutual, inside = found.where("mutual").select("a", "b"), found.where(~F.col("mutual")).select("a", "b")
-    if not mutual.isEmpty():
-        links = links.unionByName(mutual)
-        cores = components(links)
-    every = links.unionByName(inside)
+    inside = found.where(~F.col("mutual")).select("a", "b")
+    # cores that a mutual link joins become one
+    joined = components(found.where("mutual").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    joined = common.written(joined.select(F.col("node").alias("core"), F.col("root").alias("to")), "joined")
+    every = links.unionByName(found.select("a", "b"))
     ends = every.select(F.col("a").alias("th")).unionByName(every.select(F.col("b").alias("th"))).groupBy("th").agg(F.count("*").alias("n_links"))
     rows = sig.groupBy("th", "doc_id").agg(F.count("*").alias("n_same"))
     by_text = sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_text"), F.max("size").alias("size"))
-    roots = by_text.join(cores.withColumnRenamed("node", "th"), "th", "left").join(ends, "th", "left")
-    roots = common.written(roots.select("th", "rep", "n_text", "size", F.coalesce("root", "th").alias("core"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "roots")
+    roots = by_text.join(cores.withColumnRenamed("node", "th"), "th", "left").join(ends, "th", "left").withColumn("core", F.coalesce("root", "th")).join(joined, "core", "left")
+    roots = common.written(roots.select("th", "rep", "n_text", "size", F.coalesce("to", "core").alias("core"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "roots")
     tops = roots.groupBy("core").agg(F.max("size").alias("top"))
     at = roots.select("th", "core").join(tops, "core")
     sides = [at.select(F.col("th").alias(x), F.struct("top", "core").alias(f"{x}_core")) for x in "ab"]
@@ -287,11 +310,14 @@ def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without near duplicates: of each class the row with the least id; all columns stay."""
-    keep = classes(docs, t).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("th").alias("kept_th_"), F.col("n_same").alias("kept_same_"))
-    at = docs.join(keep, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).eqNullSafe(keep["kept_th_"]) & docs["doc_id"].cast("bigint").eqNullSafe(keep["kept_id_"]))
-    once = at.where("kept_same_ = 1").unionByName(at.where("kept_same_ > 1").dropDuplicates(["kept_th_"]))
-    return once.select(*[docs[c] for c in docs.columns]) if len(set(docs.columns)) == len(docs.columns) else once.drop("kept_id_", "kept_th_", "kept_same_")
+    """The rows of docs without near duplicates: of each class the row with the least id; all columns, whatever their names, stay."""
+    names = docs.columns
+    mine = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    keep = classes(docs.select("doc_id", "text"), t).where("kept").select(F.col("doc_id").alias("id"), "th", "n_same")
+    at = mine.join(keep, F.unhex(F.md5(F.coalesce(text, F.lit("")))).eqNullSafe(F.col("th")) & doc_id.cast("bigint").eqNullSafe(F.col("id")))
+    once = at.where("n_same = 1").unionByName(at.where("n_same > 1").dropDuplicates(["th"]))
+    return once.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
