@@ -80,6 +80,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
+        self.gap = regex.compile(r" \p{White_Space}")
         #: texts that can't be cut at every space
         self.odd = f" [{WHITE}]" + "".join("|" + re.escape(x) for x in self.added)
         #: kept pre-tokens: place of each in the arrays of ids and of ends
@@ -140,7 +141,7 @@ class Encoder:
             if p in self.added:
                 out.append(p)
             elif p:
-                first, *more = CUT.split(p)
+                first, *more = CUT.split(p) if self.gap.search(p) else p.split(" ")
                 out += [first, *(" " + x for x in more)] if first else (" " + x for x in more)
         return out
 

@@ -1,8 +1,9 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole: each turn is its role and text between control strings, which are escaped (reversibly)
-where they occur inside roles and texts. The rendering is encoded once with offsets; binary search intersects the sorted spans of the
-assistant's texts with the sorted spans of tokens, which gives the loss mask (tokens) and the exact stretch of text under each.
+where they occur inside roles and texts. A text stands between two added tokens of the tokenizer, which it always takes as tokens of
+their own: no token reaches over the border of a text. The rendering is encoded once with offsets (in bytes); binary search intersects the
+sorted spans of the assistant's texts with the sorted spans of tokens, which gives the loss mask. The learned text is read back by decoding the tokens under the mask.
 
 Defined results: null roles and texts are empty; rows of a conversation are ordered by turn (null first), then role, then text, so
 repeated rows and turns are kept, in a fixed order; a null conv_id is a conversation of its own; empty texts have an empty span and
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import common
+from graphlode.llm import bpe, common
 
-OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
+BORDER = "<|endoftext|>"
+OPEN, COLON, CLOSE = "### ", f": {BORDER}", f"{BORDER}</turn>\n"
 LEARNED = "assistant"
 #: Conversations are encoded at once up to so many characters.
 CHARS = 1 << 20
@@ -32,7 +34,8 @@ CHARS = 1 << 20
 
 def escape(s: str, in_role: bool = False) -> str:
     """A text in which no control string occurs; each added backslash stands before the character it was put in front of."""
-    s = s.replace("\\", "\\\\").replace("### ", "##\\# ").replace("</turn>", "<\\/turn>")
+    if "\\" in s or "<" in s or "### " in s:
+        s = s.replace("\\", "\\\\").replace("### ", "##\\# ").replace("</turn>", "<\\/turn>").replace(BORDER, "<\\|" + BORDER[2:])
     return s.replace(": ", "\\: ") if in_role else s
 
 
@@ -41,7 +44,7 @@ def unescape(s: str) -> str:
 
 
 def render(turns: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int, bool]]]:
-    """The formatted conversation, and for each turn the span of its escaped text and whether the loss covers it."""
+    """The formatted conversation, and for each turn the span of its escaped text (in characters) and whether the loss covers it."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{OPEN}{escape(role, True)}{COLON}", escape(text)
@@ -51,14 +54,16 @@ def render(turns: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int,
     return "".join(parts), spans
 
 
-def _find(s: str, what: str, at: int) -> int:
-    """Place of what from at, where its first character isn't escaped."""
-    while True:
-        at = s.index(what, at)
-        slashes = at - len(s[:at].rstrip("\\")) if at and s[at - 1] == "\\" else 0
-        if slashes % 2 == 0:
-            return at
-        at += 1
+def byte_spans(text: str, spans: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    """Sorted spans of characters as spans of bytes."""
+    if text.isascii():
+        return spans
+    out, at, seen = [], 0, 0
+    for s, e, learned in spans:
+        begin = seen + len(text[at:s].encode())
+        at, seen = e, begin + len(text[s:e].encode())
+        out.append((begin, seen, learned))
+    return out
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -67,7 +72,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     while at < len(formatted):
         if not formatted.startswith(OPEN, at):
             raise ValueError("no turn begins here")
-        colon = _find(formatted, COLON, at + len(OPEN))
+        colon = formatted.index(COLON, at + len(OPEN))  # no escaped role or text has the border in it
         close = formatted.index(CLOSE, colon + len(COLON))
         out.append((unescape(formatted[at + len(OPEN) : colon]), unescape(formatted[colon + len(COLON) : close])))
         at = close + len(CLOSE)
@@ -97,7 +102,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string in a text is text
     return t
 
 
@@ -107,23 +111,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-SCHEMA = "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>, loss_starts array<int>, loss_ends array<int>"
+SCHEMA = "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>"
 
 
 def formatted(rows: DataFrame, path: str) -> DataFrame:
-    """conv_id, the formatted conversation, its token ids, the loss mask, and the stretches of text under it."""
+    """conv_id, the formatted conversation, its token ids, and the loss mask."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def emit(convs: list[tuple[int | None, str, list]]) -> pa.RecordBatch:
-        encoded = tokenizer(path).encode_batch([c[1] for c in convs], add_special_tokens=False)
-        cols: list[list] = [[] for _ in names]
-        for (conv, text, spans), e in zip(convs, encoded):
-            offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-            on, a, b = mask(offsets, spans)
-            for col, v in zip(cols, (conv, text, e.ids, on, a, b)):
-                col.append(v)
-        kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        enc, texts = bpe.encoder(path), pa.array([c[1] for c in convs], pa.string())
+        ids, ends, _ = enc.encode_all(texts)
+        size = enc.n_bytes[ids]
+        end = np.cumsum(size)
+        on = np.zeros(len(ids), bool)
+        for (_, text, spans), i, j in zip(convs, ends, ends[1:]):
+            origin = end[i - 1] if i else 0
+            offsets = np.stack([end[i:j] - size[i:j], end[i:j]], 1) - origin
+            on[i:j] = mask(offsets, byte_spans(text, spans))[0]
+        at = pa.array(ends, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in convs], pa.int64()), texts, pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(on))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, turns, waiting, size = (), [], [], 0
@@ -145,21 +151,26 @@ def formatted(rows: DataFrame, path: str) -> DataFrame:
     return ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
-def digests(convs: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: turns by parsing, the learned text by the stretches under the mask."""
+def digests(convs: DataFrame, path: str | None = None) -> DataFrame:
+    """What can be read back from formatted conversations: turns by parsing, the learned text by decoding the tokens under the mask."""
+    path = path or default_path()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, on = b.column(2), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool)
+        ends = ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+        covered = np.concatenate([[0], np.cumsum(on)])[ends]
+        decoded = bpe.encoder(path).decode_all(ids.flatten().to_numpy()[on], covered)
         out = []
-        for conv, text, ids, on, a, e in zip(*(c.to_pylist() for c in b.columns)):
-            turns, whole = parse(text), hashlib.sha256()
-            for role, t in turns:
-                whole.update(f"{role}\n{t}\n".encode())
-            # a backslash pair may lie in two tokens, so the stretches are joined before they are unescaped
-            learned = unescape("".join(text[i:j] for i, j in zip(a, e)))
-            out.append((conv, len(turns), whole.hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text), len(ids), sum(on)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+        for text, raw in zip(b.column(1).to_pylist(), decoded):
+            turns = parse(text)
+            whole = "".join(f"{role}\n{t}\n" for role, t in turns)
+            # a backslash pair may lie in two tokens, so they are joined before they are unescaped
+            learned = unescape(raw.as_py().decode("utf-8", "replace"))
+            out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(np.diff(ends)), pa.array(np.diff(covered))], names)
 
     return common.map_batches(convs.select(*[c.split()[0] for c in SCHEMA.split(", ")]), batch, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")
 
