@@ -33,18 +33,35 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset and there is one machine, as in tests) a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that all executors share is needed")
         where = tempfile.mkdtemp(prefix="graphlode-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/graphlode/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application wrote. Results that aren't saved yet can't be read any more."""
+    remove(spark, own_dir(spark))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives any executor."""
+    """df as a Parquet table in the shared folder: cuts lineage and outlives any executor. clear() removes them all."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphlode/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

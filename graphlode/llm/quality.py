@@ -183,8 +183,9 @@ def measure(texts: pa.Array, crf: Crf) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Crf:
     parts = [labels.where(F.col("quality") == k).select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_LABEL) for k in (0, 1)]
-    # 2 x MAX_PER_LABEL ids at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").collect()
+    # 2 x MAX_PER_LABEL ids at most, and one row of each: of rows with the same id the one with the least hash of the text
+    found = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id", "quality").collect()
     return train([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 
 

@@ -2,8 +2,8 @@
 
 A text is cut into windows of WINDOW words. A window's vector is the mean of its words' vectors, a word's the mean of the
 vectors of its character n-grams, so that an unseen misspelling shares most of its vector with the word. Embeddings and the softmax
-over {clean, toxic} are learned together by Adagrad; a text's score is that of its worst window, and in training the
-worst window of each text carries the text's label.
+over {clean, toxic} are learned together by Adagrad, labels weighing the same; a text's score is the softmax's probability for its worst window, and in
+training the worst window of each text carries the text's label.
 
 Defined results: null, empty and letterless texts score as an empty window (the bias alone); very long texts are just more
 windows; repeated rows and ids give repeated rows; extra columns are dropped; an empty table gives an empty result; without labels of both kinds the model is the constant 0.
@@ -107,17 +107,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 60, seed: in
         soft -= (0.3 * d_soft / np.sqrt(g_soft)).astype(np.float32)
         g_bias += d_bias**2
         bias -= 0.1 * d_bias / np.sqrt(g_bias)
-    v = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
-    raw = worst((common.segment_sums(v[bucket], offset) / width)[ids], start, doc, len(texts))[0]
-    # the score of 0.5 goes where balanced error on the training texts is least
-    order = np.sort(np.unique(raw))
-    cuts = np.concatenate([[order[0] - 1e-6], (order[1:] + order[:-1]) / 2]) if len(order) > 1 else order
-    pos, neg = np.sort(raw[y > 0]), np.sort(raw[y == 0])
-    recall = 1 - np.searchsorted(pos, cuts) / len(pos)
-    false = 1 - np.searchsorted(neg, cuts) / len(neg)
-    gain = recall - 8 * false
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return Model(v, -float(np.median(cuts[best])))
+    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
@@ -138,8 +128,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         lab.where(F.col("toxic") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_LABEL)
         for k in (0, 1)
     ]
-    # 2 x MAX_PER_LABEL ids at most
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "toxic")
+    # 2 x MAX_PER_LABEL ids at most, and one row of each: of rows with the same id the one with the least hash of the text
+    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
