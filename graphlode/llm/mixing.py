@@ -109,13 +109,16 @@ def plan(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Each row of docs as often as the mix takes it; all columns stay."""
+    """Each row of docs as often as the mix takes it; all columns, whatever their names, stay."""
     rows = common.written(keyed(docs), "keyed")
     at, buckets = cuts(rows, rows.count())
-    named = docs.select("*", key_of(F.col("doc_id"), F.col("text")).alias("mix_key"), size_of(F.col("text")).alias("mix_size"))
-    out = with_copies(named, at, buckets, "source", F.col("mix_key"), F.col("doc_id").cast("bigint"), F.col("mix_size"))
+    names = docs.columns
+    mine = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    named = mine.select("*", key_of(doc_id, text).alias("mix_key"), size_of(text).alias("mix_size"))
+    out = with_copies(named, at, buckets, f"c{names.index('source')}", F.col("mix_key"), doc_id.cast("bigint"), F.col("mix_size"))
     out = out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

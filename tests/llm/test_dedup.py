@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphlode.llm import fingerprint, linededup, minhash, mixing, neardup
 
@@ -140,6 +141,15 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert linededup.deduplicated(none).count() == 0
 
 
+def test_lines_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse sequence and its complement: equal under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(i, " ".join("ab"[b ^ i] for b in bits)) for i in range(2)] + [(2, "one two"), (3, "one two"), (4, "one")]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == rows[0][1] and got[1] == rows[1][1]
+    assert (got[2], got[3], got[4]) == ("one two", "", "one")
+
+
 def test_within_one():
     rng = random.Random(5)
     for _ in range(3000):
@@ -249,6 +259,20 @@ def test_banding_covers_the_sizes_that_query():
             assert 1 - (1 - (shared / (2 * larger - shared)) ** rows) ** bands >= neardup.RECALL
 
 
+CLASH = ["line_text", "line_places", "mix_key", "mix_source", "mix_copies", "kept_id_", "kept_same_", "th", "z", "k", "h", "places", "cut", "c0", "c1", "core", "id", "n_same"]
+
+
+def test_columns_may_have_any_names(spark, docs):
+    some = docs.where("doc_id < 60").select("*", *(F.lit(f"v{i}").alias(c) for i, c in enumerate(CLASH)))
+    plain = docs.where("doc_id < 60")
+    for stage in (linededup.deduplicated, neardup.keep_one, mixing.mixed):
+        got, want = stage(some), stage(plain)
+        assert got.columns == some.columns
+        rows = got.collect()
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rows) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in want.collect())
+        assert all(r[c] == f"v{i}" for r in rows for i, c in enumerate(CLASH))
+
+
 # --- fingerprints -----------------------------------------------------------
 
 

@@ -97,6 +97,26 @@ def test_chat_round_trip_and_mask():
         assert on.any() == any(r == "assistant" and x for r, x in turns)
 
 
+def test_masked_tokens_lie_within_learned_texts(spark, lib):
+    rng = random.Random(8)
+    rows = [(i, j, rng.choice(["user", "assistant"]), "".join(rng.choice(HARD) for _ in range(rng.randint(0, 12)))) for i in range(300) for j in range(3)]
+    convs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").unionByName(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    enc = bpe.encoder(bpe.default_path())
+    for r in chat.formatted(convs, bpe.default_path()).collect():
+        text, raw = r["formatted"], r["formatted"].encode()
+        assert r["ids"] == lib.encode(text, add_special_tokens=False).ids
+        spans = chat.byte_spans(text, chat.render(chat.parse(text))[1])
+        inside, at = set(), 0
+        for s, e, learned in spans:
+            assert chat.unescape(raw[s:e].decode()) == chat.unescape(raw.decode()[len(raw[:s].decode()) : len(raw[:e].decode())])
+            inside.add((s, e)) if learned else None
+        for i, on in zip(r["ids"], r["loss_mask"]):
+            end = at + len(enc.bytes[i])
+            assert on == any(s <= at and end <= e for s, e in inside)
+            at = end
+        assert at == len(raw)
+
+
 def test_chat_query(spark, sf):
     got = {r["conv_id"]: r for r in chat.op9_chat_formatting(spark, sf).collect()}
     rows = sorted((r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").collect())
