@@ -212,7 +212,7 @@ def links_of(docs: DataFrame, reps: DataFrame, t: float = THRESHOLD) -> DataFram
 
 
 def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """s, th: the texts that have each shingle of probes (s). Two bitmaps let few other shingles through; a join leaves them out."""
+    """s, u: the texts (xxhash64 of the digest) that have a shingle of probes (s) which isn't a probe of their own, and few other shingles: two bitmaps keep these low, a join leaves them out."""
     n = probes.count()
     width = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
     bits, shift = 1 << width, 44 - width
@@ -220,59 +220,71 @@ def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((bitmap(probes, "s", bits), bitmap(probes.select(F.shiftrightunsigned("s", shift).alias("s")), "s", bits)))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = np.sort(np.unique(common.encode(b.column(0))[0], return_index=True)[1])
+        at = np.sort(np.unique(b.column(0).to_numpy(), return_index=True)[1])
         off, sh = minhash.shingle_sets(b.column(1).take(pa.array(at)))
-        owner, one = np.repeat(at, np.diff(off)), np.uint64(1)
+        size = np.diff(off)
+        keep = np.arange(len(sh)) - np.repeat(off[:-1], size) >= PROBES
+        sh, owner = sh[keep], np.repeat(at, size)[keep]
         for raw, right in zip(shared.value, (0, shift)):
             v = (sh >> np.uint64(right)) & np.uint64(bits - 1)
-            keep = (np.frombuffer(raw, np.uint8)[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8) & one.astype(np.uint8)).astype(bool)
+            keep = (np.frombuffer(raw, np.uint8)[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
             sh, owner = sh[keep], owner[keep]
-        return pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), b.column(0).take(pa.array(owner))], ["s", "th"])
+        return pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), b.column(0).take(pa.array(owner))], ["s", "u"])
 
     text = F.coalesce("text", F.lit(""))
-    some = common.map_batches(docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")), batch, "s bigint, th binary")
-    return some.dropDuplicates(["s", "th"]).join(probes.select("s").distinct(), "s", "left_semi")
+    return common.map_batches(docs.select(F.xxhash64(F.unhex(F.md5(text))).alias("u"), text.alias("text")), batch, "s bigint, u bigint")
 
 
 def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """a, b, ra, rb, mutual: links of a text a (core ra) and one b (core rb) that isn't smaller, of different cores (node, root)."""
-    nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left")
-    nodes = common.written(nodes.withColumn("root", F.coalesce("root", "th")), "nodes")
-    index = common.written(holders(docs, nodes.select(F.explode("probes").alias("s"))), "holders")
-    two = index.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    placed = common.written(index.join(two, "s", "left_semi").join(nodes.select("th", "root", "size"), "th"), "placed")
-    lists = common.written(placed.groupBy("s", F.col("root").alias("rb")).agg(F.max("size").alias("top")), "lists")
+    """a, b, ra, rb, mutual: links of a text a (core ra) and one b (core rb) that isn't smaller, of different cores (node, root).
+
+    Texts and cores go by 64-bit hashes of their digests until pairs are checked; texts of one hash would be checked one by one."""
+    nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    nodes = common.written(nodes.select(F.xxhash64("th").alias("u"), F.xxhash64("root").alias("c"), "th", "root", "rep", "size", "probes"), "nodes")
+    probes = nodes.select(F.explode("probes").alias("s"), "u")
+    other = common.written(holders(docs, probes.select("s")), "holders")
+    every = probes.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
+    # shingles that are a probe and that two texts or more have
+    two = every.groupBy("s").agg(F.count("*").alias("n"), F.max("own").alias("asked")).where("n > 1 AND asked").select("s")
+    placed = every.join(two, "s", "left_semi").groupBy("u", "s").agg(F.max("own").alias("own")).join(nodes.select("u", "c", "size"), "u")
+    placed = common.written(placed.select("s", "u", "c", "size", "own"), "placed")
+    lists = common.written(placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top")), "lists")
     often = lists.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    known = nodes.select("th", "root", "size", F.explode("probes").alias("s")).join(often, "s").groupBy("th", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
+    known = placed.where("own").join(often, "s").groupBy("u", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
     need = F.when(F.col("size") <= PROBES, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
     asks = known.withColumn("need", need).where(F.size("s") >= F.col("need"))
-    asks = common.written(asks.select(F.col("th").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
+    asks = common.written(asks.select(F.col("u").alias("a"), F.col("c").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
     follow = asks.select("a", "ra", "na", "need", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
     met = follow.join(lists, "s").where((F.col("ra") != F.col("rb")) & (F.col("top") >= F.col("na"))).select("a", "rb", "need").distinct()
     met = common.written(met, "met")
     # how many probes each core that was met has
-    every = met.join(asks.select("a", F.explode("s").alias("s")), "a").join(lists.select("s", "rb"), ["s", "rb"])
-    enough = common.written(every.groupBy("a", "rb", "need").agg(F.count("*").alias("hits")).where("hits >= need").select("a", "rb"), "enough")
-    own = placed.join(enough.select(F.col("rb").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("th").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb")).agg(F.collect_list("s").alias("sb"))
+    each = met.join(asks.select("a", F.explode("s").alias("s")), "a").join(lists.select("s", "rb"), ["s", "rb"])
+    enough = common.written(each.groupBy("a", "rb", "need").agg(F.count("*").alias("hits")).where("hits >= need").select("a", "rb"), "enough")
+    own = placed.join(enough.select(F.col("rb").alias("c")).distinct(), "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_list("s").alias("sb"))
     both = enough.join(asks, "a").join(own, "rb").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
-    both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "ra", "na", "b", "rb", "nb", "hits")
+    both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "na", "b", "rb", "nb", "hits")
     both = common.written(both, "by-text")
-    small = (F.col("na") <= PROBES).alias("small")  # their probes are all of their shingles
-    best = both.groupBy("a", "ra", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "ra", "na", "rb", "m.*")
-    exact = best.where(small).select("a", "b", "ra", "rb", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    small = F.col("na") <= PROBES  # their probes are all of their shingles
+    best = both.groupBy("a", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "na", "rb", "m.*")
+    exact = best.where(small).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
     large = both.where(~small)
-    ends = large.select(F.col("a").alias("th")).unionByName(large.select(F.col("b").alias("th"))).distinct()
-    sets = common.written(shingle_table(docs, common.written(nodes.select("th", "rep").join(ends, "th", "left_semi"), "wanted")), "sets")
+    ends = large.select(F.col("a").alias("u")).unionByName(large.select(F.col("b").alias("u"))).distinct()
+    sets = shingle_table(docs, common.written(nodes.select("th", "rep", "u").join(ends, "u", "left_semi").select("th", "rep"), "wanted"))
+    sets = common.written(sets.select(F.xxhash64("th").alias("u"), "shingles"), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        sa, sb = sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb"))
+        sa, sb = sets.select(F.col("u").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("u").alias("b"), F.col("shingles").alias("sb"))
         got = pairs.join(sa, "a").join(sb, "b").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
-        return got.select("a", "b", "ra", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+        return got.select("a", "b", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
 
     first = common.written(checked(best.where(~small)), "first")
     open_ = first.where(~F.col("linked")).select("a", "rb", F.col("b").alias("tried"))
     rest = checked(large.join(open_, ["a", "rb"]).where(F.col("b") != F.col("tried")).drop("tried"))
-    return common.written(exact.unionByName(first.where("linked").drop("linked")).unionByName(rest.where("linked").drop("linked")), "contained")
+    found = exact.unionByName(first.where("linked").select("a", "b", "mutual")).unionByName(rest.where("linked").select("a", "b", "mutual"))
+    ids = nodes.select("u", "th", "root")
+    for x in "ab":
+        found = found.join(ids.select(F.col("u").alias(x), F.col("th").alias(f"th_{x}"), F.col("root").alias(f"r{x}")), x)
+    return common.written(found.select(F.col("th_a").alias("a"), F.col("th_b").alias("b"), "ra", "rb", "mutual"), "contained")
 
 
 def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
