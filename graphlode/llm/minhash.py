@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from graphlode.llm import common, subword
 
@@ -20,7 +21,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     parents, flat = common.split_words(texts)
     ids, distinct = common.encode(flat)
     names = subword.normalise(distinct)
-    h = common.hash64(pa.array([b or a for a, b in zip(distinct.to_pylist(), names.to_pylist())], pa.string()))
+    h = common.hash64(common.plain(pc.if_else(pc.equal(pc.binary_length(names), 0), distinct, names)))
     w = h[ids] if len(ids) else np.zeros(0, np.uint64)
     offsets = common.starts_of(parents, n)
     size = np.diff(offsets)

@@ -16,8 +16,8 @@ is linked the link stands for the core.
 Candidates are checked exactly on their sets of shingles (44-bit hashes).
 
 Equal texts are one class from the start and take part once. In a band's bucket every text is compared with the bucket's
-first one; a text that isn't linked to it is then compared with all the bucket's texts. So a pair is left unchecked only if both are
-linked to a common third text: classes lose no link, and the work in a bucket of n near copies grows as n.
+first one, and those that aren't linked to it with the first of these: the work in a bucket of n texts grows as n. Pairs of a mixed bucket that
+meet nowhere this way are found by their probes, as are all links between different cores.
 
 Defined results: null and empty texts are equal (one class, no links); texts of fewer words than a shingle are one shingle;
 texts of symbols count their words as they are; repeated rows and ids are copies of one class; a class is named by its least
@@ -47,6 +47,8 @@ BITS = 1 << 25
 LEAST_BITS, MOST_BITS = 25, 28
 #: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(32, 0.75) >= 19) = 0.985.
 PROBES, PROBES_HIT = 32, 19
+#: Texts with their probes (of 300 bytes at most) that are broadcast: 30 MB.
+MOST_ASKS = 100_000
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -205,10 +207,10 @@ def links_of(docs: DataFrame, reps: DataFrame, t: float = THRESHOLD) -> DataFram
     sets = common.written(shingle_table(docs, wanted), "sets")
     first = common.written(verified(multi.where("th <> pivot").select(F.col("th").alias("a"), F.col("pivot").alias("b")).distinct(), sets, t), "first")
     failed = first.where(~F.col("linked")).select(F.col("a").alias("th"), F.col("b").alias("pivot"))
-    odd = multi.join(failed, ["th", "pivot"], "left_semi").select("key", F.col("th").alias("x"))
-    rest = odd.join(multi.where("th <> pivot"), "key").where(F.col("x") != F.col("th")).select(F.greatest("x", "th").alias("a"), F.least("x", "th").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return common.written(first.where("linked").select("a", "b").unionByName(verified(rest, sets, t).where("linked").select("a", "b")), "links")
+    odd = multi.join(failed, ["th", "pivot"], "left_semi").select("key", "th")
+    again = odd.join(odd.groupBy("key").agg(F.min("th").alias("pivot")), "key").where(F.col("th") != F.col("pivot"))
+    second = verified(again.select(F.col("th").alias("a"), F.col("pivot").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, t)
+    return common.written(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")), "links")
 
 
 def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
@@ -244,24 +246,33 @@ def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THR
     probes = nodes.select(F.explode("probes").alias("s"), "u")
     other = common.written(holders(docs, probes.select("s")), "holders")
     every = probes.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
+    every = every.repartition("s")  # what follows keeps this partitioning up to the join by text
     # shingles that are a probe and that two texts or more have
     two = every.groupBy("s").agg(F.count("*").alias("n"), F.max("own").alias("asked")).where("n > 1 AND asked").select("s")
     placed = every.join(two, "s", "left_semi").groupBy("u", "s").agg(F.max("own").alias("own")).join(nodes.select("u", "c", "size"), "u")
-    placed = common.written(placed.select("s", "u", "c", "size", "own"), "placed")
-    lists = common.written(placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top")), "lists")
-    often = lists.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    placed = common.written(placed.select("s", "u", "c", "size", "own").repartition("s"), "placed")
+    lists = placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top"))
+    often = common.written(lists.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
     known = placed.where("own").join(often, "s").groupBy("u", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
     need = F.when(F.col("size") <= PROBES, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
     asks = known.withColumn("need", need).where(F.size("s") >= F.col("need"))
     asks = common.written(asks.select(F.col("u").alias("a"), F.col("c").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
-    follow = asks.select("a", "ra", "na", "need", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
-    met = follow.join(lists, "s").where((F.col("ra") != F.col("rb")) & (F.col("top") >= F.col("na"))).select("a", "rb", "need").distinct()
+    # few texts have probes enough in other cores: only their probes' lists are followed
+    placed = common.written(placed.join(asks.select(F.explode("s").alias("s")).distinct(), "s", "left_semi"), "followed")
+    lists = placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top"))
+    follow = asks.select("a", "ra", "na", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
+    met = follow.join(lists, "s").where((F.col("ra") != F.col("rb")) & (F.col("top") >= F.col("na"))).select("a", "rb").distinct()
     met = common.written(met, "met")
     # how many probes each core that was met has
-    each = met.join(asks.select("a", F.explode("s").alias("s")), "a").join(lists.select("s", "rb"), ["s", "rb"])
-    enough = common.written(each.groupBy("a", "rb", "need").agg(F.count("*").alias("hits")).where("hits >= need").select("a", "rb"), "enough")
+    has = placed.join(met.select(F.col("rb").alias("c")).distinct(), "c", "left_semi").groupBy(F.col("c").alias("rb")).agg(F.collect_set("s").alias("sb"))
+    asked = asks.select("a", "need", "s")
+    asked = F.broadcast(asked) if asks.count() <= MOST_ASKS else asked
+    enough = met.join(has, "rb").join(asked, "a").where(F.size(F.array_intersect("s", "sb")) >= F.col("need")).select("a", "rb")
+    enough = common.written(enough, "enough")
     own = placed.join(enough.select(F.col("rb").alias("c")).distinct(), "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_list("s").alias("sb"))
-    both = enough.join(asks, "a").join(own, "rb").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
+    asked = asks.select("a", "na", "need", "s")
+    asked = F.broadcast(asked) if asks.count() <= MOST_ASKS else asked
+    both = enough.join(own, "rb").join(asked, "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
     both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "na", "b", "rb", "nb", "hits")
     both = common.written(both, "by-text")
     small = F.col("na") <= PROBES  # their probes are all of their shingles
