@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,7 +64,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, and lets go of the shuffle files of jobs that ended."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        remove(spark, t.written_to)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Bytes of a batch that a worker's function gets at once: its arrays take a multiple of them.

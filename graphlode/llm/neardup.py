@@ -47,8 +47,8 @@ BITS = 1 << 25
 LEAST_BITS, MOST_BITS = 25, 28
 #: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(32, 0.75) >= 19) = 0.985.
 PROBES, PROBES_HIT = 32, 19
-#: Texts with their probes (of 300 bytes at most) that are broadcast: 30 MB.
-MOST_ASKS = 100_000
+#: Texts with their probes (300 bytes at most) and ids (of at most 40 bytes) that are broadcast: 30 MB and 10 MB.
+MOST_ASKS, MOST_IDS = 100_000, 250_000
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -160,7 +160,7 @@ def bitmap(values: DataFrame, column: str, bits: int = BITS) -> bytes:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """th, shingles of the texts in wanted (th, rep). A bitmap of fixed size lets few other texts through; a join leaves them out."""
+    """th, shingles of the texts in wanted (th, rep), and of few others, which a bitmap lets through; rows equal in id and text come more than once."""
     h = F.xxhash64("th", "rep")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(h.alias("h")), "h"))
 
@@ -173,17 +173,26 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    some = common.map_batches(keyed.select(h.alias("h"), "th", "text"), batch, "th binary, shingles array<bigint>")
-    return some.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"])
+    return common.map_batches(keyed.select(h.alias("h"), "th", "text"), batch, "th binary, shingles array<bigint>")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """pairs with sa, sb: the shingles of a and b. Both joins read one exchange of sets (key, shingles)."""
+    left = pairs.join(sets, F.col("a") == F.col(key)).withColumnRenamed("shingles", "sa").drop(key)
+    return left.join(sets, F.col("b") == F.col(key)).withColumnRenamed("shingles", "sb").drop(key)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """a, b, linked: the containment of each pair, checked on the whole sets."""
-    left, right = sets.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = with_sets(pairs, sets, "th")
     most = F.greatest(F.size("sa"), F.size("sb"))
     enough = F.least(F.size("sa"), F.size("sb")) >= most * t - 1e-9
-    return both.select("a", "b", F.when(enough, F.size(F.array_intersect("sa", "sb")) >= most * t - 1e-9).otherwise(False).alias("linked"))
+    return both.select("a", "b", F.when(enough, F.size(F.array_intersect("sa", "sb")) >= most * t - 1e-9).otherwise(False).alias("linked")).distinct()
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be broadcast if they are at most so many; the count stops there. rows should be cheap to count."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,8 +200,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     labels = common.written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "labels")
     while True:
-        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        known = few(labels, MOST_IDS)
+        near = edges.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
+        step = near.join(known, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         to = step.select(F.col("node").alias("at"), F.col("root").alias("next"))
         new = common.written(step.join(to, step["root"] == to["at"]).select("node", "old", F.least("root", "next").alias("root")), "labels")
         if new.where("old <> root").isEmpty():
@@ -203,14 +213,16 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, reps: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """a, b: the links found between different texts, as digests."""
     multi = common.written(buckets(reps), "buckets")
-    wanted = common.written(reps.select("th", "rep").join(multi.select("th").distinct(), "th", "left_semi"), "wanted")
+    wanted = common.written(reps.select("th", "rep").join(few(multi.select("th").distinct(), MOST_IDS), "th", "left_semi"), "wanted")
     sets = common.written(shingle_table(docs, wanted), "sets")
     first = common.written(verified(multi.where("th <> pivot").select(F.col("th").alias("a"), F.col("pivot").alias("b")).distinct(), sets, t), "first")
     failed = first.where(~F.col("linked")).select(F.col("a").alias("th"), F.col("b").alias("pivot"))
     odd = multi.join(failed, ["th", "pivot"], "left_semi").select("key", "th")
     again = odd.join(odd.groupBy("key").agg(F.min("th").alias("pivot")), "key").where(F.col("th") != F.col("pivot"))
     second = verified(again.select(F.col("th").alias("a"), F.col("pivot").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, t)
-    return common.written(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")), "links")
+    links = common.written(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")), "links")
+    common.dropped(multi, wanted, sets, first)
+    return links
 
 
 def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
@@ -243,59 +255,52 @@ def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THR
     Texts and cores go by 64-bit hashes of their digests until pairs are checked; texts of one hash would be checked one by one."""
     nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     nodes = common.written(nodes.select(F.xxhash64("th").alias("u"), F.xxhash64("root").alias("c"), "th", "root", "rep", "size", "probes"), "nodes")
-    probes = nodes.select(F.explode("probes").alias("s"), "u")
-    other = common.written(holders(docs, probes.select("s")), "holders")
-    every = probes.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
-    every = every.repartition("s")  # what follows keeps this partitioning up to the join by text
-    # shingles that are a probe and that two texts or more have
-    two = every.groupBy("s").agg(F.count("*").alias("n"), F.max("own").alias("asked")).where("n > 1 AND asked").select("s")
-    placed = every.join(two, "s", "left_semi").groupBy("u", "s").agg(F.max("own").alias("own")).join(nodes.select("u", "c", "size"), "u")
-    placed = common.written(placed.select("s", "u", "c", "size", "own").repartition("s"), "placed")
-    lists = placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top"))
-    often = common.written(lists.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    known = placed.where("own").join(often, "s").groupBy("u", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
+    mine = nodes.select(F.explode("probes").alias("s"), "u", "c", "size")
+    other = holders(docs, mine.select("s")).join(nodes.select("u", "c", "size"), "u")
+    other = common.written(other.select("s", "u", "c", "size"), "holders")
+    every = mine.withColumn("own", F.lit(True)).unionByName(other.withColumn("own", F.lit(False)))
+    # shingles that are a probe and that texts of two cores or more have; equal texts of different batches count as often as they come
+    often = every.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df"), F.max("own").alias("asked")).where("low <> high AND asked").select("s", "df")
+    known = mine.join(often, "s").groupBy("u", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
     need = F.when(F.col("size") <= PROBES, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
     asks = known.withColumn("need", need).where(F.size("s") >= F.col("need"))
     asks = common.written(asks.select(F.col("u").alias("a"), F.col("c").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
-    # few texts have probes enough in other cores: only their probes' lists are followed
-    placed = common.written(placed.join(asks.select(F.explode("s").alias("s")).distinct(), "s", "left_semi"), "followed")
-    lists = placed.groupBy("s", F.col("c").alias("rb")).agg(F.max("size").alias("top"))
+    # few texts have probes enough in other cores: they are broadcast if they are few, and only their probes' lists are followed
+    small = F.broadcast if asks.count() <= MOST_ASKS else (lambda x: x)
+    followed = common.written(every.join(small(asks.select(F.explode("s").alias("s")).distinct()), "s", "left_semi").select("s", "u", "c", "size"), "followed")
     follow = asks.select("a", "ra", "na", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
-    met = follow.join(lists, "s").where((F.col("ra") != F.col("rb")) & (F.col("top") >= F.col("na"))).select("a", "rb").distinct()
-    met = common.written(met, "met")
+    met = followed.join(small(follow), "s").where((F.col("ra") != F.col("c")) & (F.col("size") >= F.col("na"))).select("a", F.col("c").alias("rb")).distinct()
     # how many probes each core that was met has
-    has = placed.join(met.select(F.col("rb").alias("c")).distinct(), "c", "left_semi").groupBy(F.col("c").alias("rb")).agg(F.collect_set("s").alias("sb"))
-    asked = asks.select("a", "need", "s")
-    asked = F.broadcast(asked) if asks.count() <= MOST_ASKS else asked
-    enough = met.join(has, "rb").join(asked, "a").where(F.size(F.array_intersect("s", "sb")) >= F.col("need")).select("a", "rb")
+    has = followed.groupBy(F.col("c").alias("rb")).agg(F.collect_set("s").alias("sb"))
+    enough = met.join(has, "rb").join(small(asks.select("a", "need", "s")), "a").where(F.size(F.array_intersect("s", "sb")) >= F.col("need")).select("a", "rb")
     enough = common.written(enough, "enough")
-    own = placed.join(enough.select(F.col("rb").alias("c")).distinct(), "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_list("s").alias("sb"))
-    asked = asks.select("a", "na", "need", "s")
-    asked = F.broadcast(asked) if asks.count() <= MOST_ASKS else asked
-    both = enough.join(own, "rb").join(asked, "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
+    reached = few(enough.select(F.col("rb").alias("c")).distinct(), MOST_IDS)
+    own = followed.join(reached, "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_set("s").alias("sb"))
+    both = enough.join(own, "rb").join(small(asks.select("a", "na", "need", "s")), "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
     both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "na", "b", "rb", "nb", "hits")
     both = common.written(both, "by-text")
-    small = F.col("na") <= PROBES  # their probes are all of their shingles
+    tiny = F.col("na") <= PROBES  # their probes are all of their shingles
     best = both.groupBy("a", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "na", "rb", "m.*")
-    exact = best.where(small).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
-    large = both.where(~small)
+    exact = best.where(tiny).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    large = both.where(~tiny)
     ends = large.select(F.col("a").alias("u")).unionByName(large.select(F.col("b").alias("u"))).distinct()
-    sets = shingle_table(docs, common.written(nodes.select("th", "rep", "u").join(ends, "u", "left_semi").select("th", "rep"), "wanted"))
-    sets = common.written(sets.select(F.xxhash64("th").alias("u"), "shingles"), "sets")
+    wanted = common.written(nodes.select("th", "rep", "u").join(ends, "u", "left_semi").select("th", "rep"), "wanted")
+    sets = common.written(shingle_table(docs, wanted).select(F.xxhash64("th").alias("u"), "shingles"), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        sa, sb = sets.select(F.col("u").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("u").alias("b"), F.col("shingles").alias("sb"))
-        got = pairs.join(sa, "a").join(sb, "b").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
-        return got.select("a", "b", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+        got = with_sets(pairs, sets, "u").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
+        return got.select("a", "b", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual")).distinct()
 
-    first = common.written(checked(best.where(~small)), "first")
+    first = common.written(checked(best.where(~tiny)), "first")
     open_ = first.where(~F.col("linked")).select("a", "rb", F.col("b").alias("tried"))
     rest = checked(large.join(open_, ["a", "rb"]).where(F.col("b") != F.col("tried")).drop("tried"))
     found = exact.unionByName(first.where("linked").select("a", "b", "mutual")).unionByName(rest.where("linked").select("a", "b", "mutual"))
     ids = nodes.select("u", "th", "root")
     for x in "ab":
         found = found.join(ids.select(F.col("u").alias(x), F.col("th").alias(f"th_{x}"), F.col("root").alias(f"r{x}")), x)
-    return common.written(found.select(F.col("th_a").alias("a"), F.col("th_b").alias("b"), "ra", "rb", "mutual"), "contained")
+    found = common.written(found.select(F.col("th_a").alias("a"), F.col("th_b").alias("b"), "ra", "rb", "mutual"), "contained")
+    common.dropped(nodes, other, asks, followed, enough, both, wanted, sets, first)
+    return found
 
 
 def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
