@@ -64,8 +64,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif cmd == "manifest":
         print(json.dumps(files.load_text(spark, a.out, "manifest"), indent=2, ensure_ascii=False))
     elif cmd == "node":
-        for r in base.table("nodes").where(F.col("id") == a.id).collect():
-            print(json.dumps({k: v for k, v in r.asDict(recursive=True).items() if v is not None and k != "seq"}, indent=2, ensure_ascii=False))
+        if found := graph.node(base.table("nodes"), a.id):
+            print(json.dumps({k: v for k, v in found.items() if v is not None and k != "seq"}, indent=2, ensure_ascii=False))
         graph.neighbors(base.table("edges"), a.id, "both").show(25, False)
     elif cmd in ("neighbors", "neighbours"):
         graph.neighbors(base.table("edges"), a.id, a.dir, a.rel).select("id", "rel", "dir").show(200, False)

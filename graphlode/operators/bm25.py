@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlode.functions import text as tx
+from graphlode.operators.tables import stored
 
 K1, B = 1.5, 0.75
-#: Most rows of a side that is broadcast; its size is checked where it isn't bounded by construction.
-BROADCAST_ROWS = 200_000
+#: Most bytes (as rows of the JVM) of a side that is broadcast; they are counted where they aren't bounded by construction.
+BROADCAST_BYTES = 32 << 20
+#: Scores are summed as whole multiples of this, so that sums don't depend on the order of rows.
+UNIT = 1e-12
 
 
 def postings(items: DataFrame, id_col: str = "id", order_col: str = "row_idx", text: Column | None = None) -> DataFrame:
@@ -34,24 +38,50 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.posexplode(F.array_distinct(tx.tokens(F.col("query")))).alias("pos", "term"))
 
 
+def width(kind: T.DataType) -> int | None:
+    """Bytes of a value that don't depend on it; None for strings and arrays."""
+    return None if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of df's rows in the JVM: one aggregate."""
+    each = 16 + sum(width(f.dataType) or 16 for f in df.schema.fields)
+    parts = [F.lit(each)]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            parts.append(F.greatest(F.size(f.name), F.lit(0)) * 8)
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return df.agg(F.sum(total.cast("bigint"))).first()[0] or 0
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; the count stops there."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if its rows take at most BROADCAST_BYTES; df should be cheap to read twice."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+
+
+def fixed_sum(value: Column) -> Column:
+    """A sum that is the same in any order."""
+    return F.sum(F.round(value / UNIT).cast("bigint")) * UNIT
 
 
 def scores(queries: DataFrame, post: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, row_idx, score, first_pos of each matching pair."""
-    terms = query_terms(queries)
-    asked = post.join(small(terms.select("term").distinct()), "term", "left_semi")
+    """qid, id, row_idx, score, first_pos of each matching pair. The corpus is read once: postings of the queries' terms are stored."""
+    terms = stored(query_terms(queries), "query-terms")
+    asked = stored(post.join(small(terms.select("term").distinct()), "term", "left_semi"), "asked")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(corpus))  # corpus: one row
+    rated = small(terms.join(df, "term"))  # as many rows as the queries have terms
+    hits = asked.join(rated, "term").crossJoin(F.broadcast(corpus))  # corpus: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    return hits.groupBy("qid", "id", "row_idx").agg(F.sum(part).alias("score"), F.min("pos").alias("first_pos"))
+    return hits.groupBy("qid", "id", "row_idx").agg(fixed_sum(part).alias("score"), F.min("pos").alias("first_pos"))
 
 
-def top(scored: DataFrame, n: int, digits: int = 6) -> DataFrame:
-    """The best n of each query with their rank; ties by first query term, then row. Scores are rounded before they are ranked."""
-    s = scored.withColumn("score", F.round("score", digits))
+def top(scored: DataFrame, n: int, digits: int | None = 6) -> DataFrame:
+    """The best n of each query with their rank; ties by first query term, then row. Scores are rounded after they are ranked."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "first_pos", "row_idx")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.operators.graph import components
@@ -17,6 +17,9 @@ def clusters(vectors: DataFrame, threshold: float = 0.55, where: Column | None =
         raise ValueError(f"{n} rows are more than the cap of {cap}")
     found = components(similar_pairs(rows, threshold))
     members = found.join(rows.select(F.col("row_idx").alias("id"), F.col(label).cast("string").alias("label")), "id")
-    first = F.slice(F.array_sort(F.collect_list("id")), 1, 10)
-    groups = members.groupBy("root").agg(F.count("*").alias("size"), F.min_by("label", "id").alias("label"), first.alias("members"))
-    return n, groups.orderBy(F.desc("size"), "root").limit(top), n - found.count()
+    sizes = members.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(top)
+    best = members.join(F.broadcast(sizes), "root")  # top rows
+    place = F.row_number().over(Window.partitionBy("root").orderBy("id"))
+    # ten members at most of each cluster meet in its list
+    ten = best.withColumn("place", place).where("place <= 10").groupBy("root", "size").agg(F.min_by("label", "id").alias("label"), F.array_sort(F.collect_list("id")).alias("members"))
+    return n, ten.select("root", "size", "label", "members").orderBy(F.desc("size"), "root"), n - found.count()

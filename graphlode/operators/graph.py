@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,29 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.groupBy(F.col("rel").alias("name")).count().select(F.lit("edge").alias("kind"), "name", F.col("count").alias("n")))
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops: int = 10_000) -> list[str] | None:
-    """Ids from a to b over edges of either direction, or None. Each round joins the frontier and leaves out what was seen."""
+def node(nodes: DataFrame, id_: str) -> dict | None:
+    """A node's attributes, None if there is no such node."""
+    row = nodes.where(F.col("id") == id_).first()
+    return row.asDict(recursive=True) if row else None
+
+
+def has_node(nodes: DataFrame, id_: str) -> bool:
+    return not nodes.where(F.col("id") == id_).isEmpty()
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops: int | None = None) -> list[str] | None:
+    """Ids from a to b over edges of either direction, or None (also if more than max_hops edges are needed, where that is given). Each round joins the frontier and leaves out what was seen."""
     if nodes.where(F.col("id").isin(a, b)).select("id").distinct().count() < len({a, b}):
         return None
     if a == b:
         return [a]
     spark = edges.sparkSession
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).alias("way"), "seq").unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(1).alias("way"), "seq"))
+    both = stored(both, "both-ways")  # each round reads it
     seen = frontier = stored(spark.createDataFrame([(a, None, 0)], "id string, parent string, depth int"), "bfs")
-    for depth in range(1, max_hops + 1):
+    for depth in count(1):
+        if max_hops is not None and depth > max_hops:
+            return None
         near = frontier.select(F.col("id").alias("u")).join(both, "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct("way", "seq", "u"))["u"].alias("parent"))
         frontier = stored(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
         if frontier.isEmpty():
@@ -56,8 +71,6 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops:
         seen = seen.unionByName(frontier)
         if not frontier.where(F.col("id") == b).isEmpty():
             break
-    else:
-        return None
     path, at = [b], b
     while at != a:  # one point lookup for each hop
         at = seen.where(F.col("id") == at).first()["parent"]
@@ -67,10 +80,11 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root: the least id of each node's connected component. Labels spread to neighbours and jump to their label's label."""
-    both = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))), "edges")
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root"))
+    # the pairs may be costly: they are computed once, each way of an edge is a row of the same pass
+    ways = F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))))
+    both = stored(edges.select(ways.alias("e")).select("e.*"), "edges")
+    labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root")), "labels")
     while True:
-        labels = stored(labels, "labels")
         near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["id"] == near["u"]).select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         new = stored(step.join(step.select(F.col("id").alias("at"), F.col("root").alias("next")), F.col("root") == F.col("at")).select("id", "old", F.least("root", "next").alias("root")), "labels")

@@ -131,6 +131,12 @@ def link_edges(docs: DataFrame) -> DataFrame:
     return found.where("doc_id <> to").select(F.col("doc_id").alias("src"), F.col("to").alias("dst"), "seq", "at")
 
 
+def next_edges(chunks: DataFrame) -> DataFrame:
+    """src, dst, seq, idx: an edge from each chunk (doc_id, idx) to the next one of its document."""
+    cid = lambda i: F.concat(F.lit("chunk:"), F.col("doc_id"), F.lit("#"), i)
+    return chunks.where("idx > 0").select(cid(F.col("idx") - 1).alias("src"), cid(F.col("idx")).alias("dst"), "seq", "idx")
+
+
 def edge_rows(docs: DataFrame, products: DataFrame, categories: DataFrame, images: bool = False) -> DataFrame:
     """src, dst, rel, seq of every edge mention; merge_edges() makes them edges."""
 
@@ -164,7 +170,7 @@ def edge_rows(docs: DataFrame, products: DataFrame, categories: DataFrame, image
         rows(kb.select("doc_id", "seq", F.posexplode(many("keywords")).alias("at", "t")), F.col("doc_id"), F.concat(F.lit("kw:"), tx.slug(F.col("t"))), "MENTIONS", 8, F.col("at")),
         rows(heads, F.col("doc_id"), F.col("head_id"), F.when(near, "HAS_HEADING").otherwise("HAS_SUBHEADING"), 9, F.col("idx")),
         rows(chunks, F.col("doc_id"), cid(F.col("idx")), "HAS_CHUNK", 11, F.col("idx")),
-        rows(chunks.where("idx > 0"), cid(F.col("idx") - 1), cid(F.col("idx")), "NEXT", 12, F.col("idx")),
+        rows(next_edges(chunks), F.col("src"), F.col("dst"), "NEXT", 12, F.col("idx")),
         rows(link_edges(docs), F.col("src"), F.col("dst"), "LINKS_TO", 13, F.col("at")),
     ]
     if images:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import text as tx
+from graphlode.operators.bm25 import small
 
 FIELDS = ("title", "description", "keywords", "symptom")
 ORDER = {f: i for i, f in enumerate(("title", "description", "keywords", "tags", "symptom", "heading"))}
@@ -82,6 +83,22 @@ def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(shifts), "part_").withColumn("seq", F.row_number().over(w) - 1 + F.col("shift_")).drop("part_", "in_part_", "shift_")
 
 
+def passages(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """qid, doc_id: the documents whose text holds a passage(qid, passage) as it stands.
+
+    Both sides are cut into words at ASCII white space. A word that stands wholly inside a passage (not its first or last) is in any text that holds it, so the
+    longest such word of each passage is a join key, and only texts that have it are searched; passages without one are compared with every text."""
+    ws = r"[\x20\x09-\x0D]+"
+    inner = F.filter(F.slice(F.split("passage", ws), F.lit(2), F.greatest(F.size(F.split("passage", ws)) - 2, F.lit(0))), lambda w: w != "")
+    keyed = wanted.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    # of the documents' words only those that are a key travel, with their id; a text is read again for the pairs that met
+    keys = small(keyed.where("key IS NOT NULL").select("key").distinct())
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", ws))).alias("key")).join(keys, "key", "left_semi")
+    met = words.join(keyed.where("key IS NOT NULL"), "key").select("qid", "passage", "doc_id").join(docs, "doc_id")
+    rest = docs.join(small(keyed.where("key IS NULL").drop("key")), F.lit(True)).select("qid", "passage", "doc_id", "text")
+    return met.select("qid", "passage", "doc_id", "text").unionByName(rest).where(F.contains("text", "passage")).select("qid", "doc_id").distinct()
+
+
 def stats(labels: DataFrame) -> DataFrame:
     """kind (product, field, records or groups), name, n."""
     by = [labels.groupBy(F.col(k).alias("name")).count().select(F.lit(k).alias("kind"), "name", F.col("count").alias("n")) for k in ("product", "field")]

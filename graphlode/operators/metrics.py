@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.config import METRICS
@@ -44,15 +44,20 @@ def bootstrap(rows: DataFrame, metric: str, n: int = 500, seed: int = 7, ci: flo
     """config_key, mean, lo, hi, n of a metric, whole groups being drawn with replacement.
 
     Draw b * G + s + 1 of the generator picks the s-th group of resample b, so all draws are rows of a range: no order, no loop."""
-    groups = rows.groupBy("config_key", "grp").agg(F.sum(metric).alias("total"), F.count("*").alias("cnt"), F.min("seq").alias("first"))
-    from pyspark.sql import Window
+    return bootstraps(rows, [metric], n, seed, ci, digits).drop("metric")
 
+
+def bootstraps(rows: DataFrame, names: list[str], n: int = 500, seed: int = 7, ci: float = 0.95, digits: int = 6) -> DataFrame:
+    """config_key, metric, mean, lo, hi, n of all named metrics: the same draws serve them all, in one pass."""
+    whole = rows.groupBy("config_key").agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in names])
+    groups = rows.groupBy("config_key", "grp").agg(F.count("*").alias("cnt"), F.min("seq").alias("first"), *[F.sum(m).alias(m) for m in names])
     groups = groups.withColumn("at", F.row_number().over(Window.partitionBy("config_key").orderBy("first", "grp")) - 1)
     sizes = groups.groupBy("config_key").agg(F.count("*").alias("g"))
     spots = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("s", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
     drawn = spots.withColumn("at", F.floor(rng.draw(F.lit(seed), F.col("b") * F.col("g") + F.col("s") + 1) * F.col("g")).cast("int"))
-    resampled = drawn.join(groups, ["config_key", "at"]).groupBy("config_key", "b").agg((F.sum("total") / F.greatest(F.sum("cnt"), F.lit(1))).alias("m"))
-    ordered = resampled.groupBy("config_key").agg(F.array_sort(F.collect_list("m")).alias("ms"))  # n values for each configuration
+    share = [(F.sum(m) / F.greatest(F.sum("cnt"), F.lit(1))).alias(m) for m in names]
+    resampled = drawn.join(groups, ["config_key", "at"]).groupBy("config_key", "b").agg(*share)
+    ordered = resampled.groupBy("config_key").agg(*[F.array_sort(F.collect_list(m)).alias(f"all_{m}") for m in names])  # n values for each configuration
     lo, hi = int((1 - ci) / 2 * n + 1e-9), min(n - 1, int((1 + ci) / 2 * n + 1e-9))
-    whole = rows.groupBy("config_key").agg(F.avg(metric).alias("mean"), F.count("*").alias("n"))
-    return whole.join(ordered, "config_key").select("config_key", F.round("mean", digits).alias("mean"), F.round(F.col("ms")[lo], digits).alias("lo"), F.round(F.col("ms")[hi], digits).alias("hi"), "n")
+    each = [F.struct(F.lit(m).alias("metric"), F.round(m, digits).alias("mean"), F.round(F.col(f"all_{m}")[lo], digits).alias("lo"), F.round(F.col(f"all_{m}")[hi], digits).alias("hi")) for m in names]
+    return whole.join(ordered, "config_key").select("config_key", F.explode(F.array(*each)).alias("e"), "n").select("config_key", "e.*", "n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import text as tx
+from graphlode.operators.bm25 import fixed_sum
 
 CONFIG = "config_key string, lvl string, signal string, alpha double, rrf_k int, pool string, place int"
 
@@ -37,7 +38,7 @@ def expand_grid(levels=("doc",), signals=("vector", "bm25", "rrf"), pools=("max"
 
 
 def rank(cand: DataFrame, configs: DataFrame, top_k: int = 100, digits: int = 6, node: Column | None = None) -> DataFrame:
-    """qid, config_key, node, score, rank. configs is a grid: a few rows from the driver, broadcast."""
+    """qid, config_key, node, score, rank. configs is a grid: a few rows from the driver, broadcast. Scores are rounded after they are ranked."""
     w = Window.partitionBy("qid", "lvl")
     c = cand.withColumn("nv", minmax(F.col("v_score"), w)).withColumn("nb", minmax(F.col("b_score"), w))
     c = c.withColumn("node", tx.node_of_item(F.col("lvl"), F.col("id")) if node is None else node)
@@ -45,7 +46,9 @@ def rank(cand: DataFrame, configs: DataFrame, top_k: int = 100, digits: int = 6,
     rrf = F.coalesce(1.0 / (F.col("rrf_k") + F.col("v_rank")), F.lit(0.0)) + F.coalesce(1.0 / (F.col("rrf_k") + F.col("b_rank")), F.lit(0.0))
     score = F.when(F.col("signal") == "vector", F.col("v_score")).when(F.col("signal") == "bm25", F.col("b_score")).when(F.col("signal") == "linear", F.col("alpha") * F.col("nv") + (1 - F.col("alpha")) * F.col("nb")).otherwise(rrf)
     scored = c.withColumn("score", score).where("score IS NOT NULL")
-    pooled = scored.groupBy("qid", "config_key", "pool", "node").agg(F.max("score").alias("mx"), F.avg("score").alias("av"), F.sum("score").alias("sm"), F.min("arrival").alias("arrival"))
-    value = F.round(F.when(F.col("pool") == "mean", F.col("av")).when(F.col("pool") == "sum", F.col("sm")).otherwise(F.col("mx")), digits)
+    total = fixed_sum(F.col("score"))
+    pooled = scored.groupBy("qid", "config_key", "pool", "node").agg(F.max("score").alias("mx"), total.alias("sm"), F.count("*").alias("n"), F.min("arrival").alias("arrival"))
+    value = F.when(F.col("pool") == "mean", F.col("sm") / F.col("n")).when(F.col("pool") == "sum", F.col("sm")).otherwise(F.col("mx"))
     order = Window.partitionBy("qid", "config_key").orderBy(F.desc("score"), "arrival", "node")
-    return pooled.withColumn("score", value).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("qid", "config_key", "node", "score", "rank")
+    best = pooled.withColumn("score", value).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return best.select("qid", "config_key", "node", F.round("score", digits).alias("score"), "rank")

@@ -37,4 +37,5 @@ def holdout(labels: DataFrame, frac: float = 0.3, stratify: str | None = "produc
 def leave_one_out(labels: DataFrame, by: str = "product") -> DataFrame:
     """name, qid, is_test: a fold for each value, in order; the rest of the labels trains."""
     names = labels.select(F.col(by).alias("name")).distinct()
-    return labels.select("qid", F.col(by).alias("of")).join(names, F.lit(True)).select("name", "qid", (F.col("of") == F.col("name")).alias("is_test"))
+    # the result has a row for each label and name: names are few, or the result is too large in any way
+    return labels.select("qid", F.col(by).alias("of")).join(F.broadcast(names), F.lit(True)).select("name", "qid", (F.col("of") == F.col("name")).alias("is_test"))

@@ -8,21 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions.vector import dot
-from graphlode.operators.bm25 import small
+from graphlode.operators.bm25 import BROADCAST_BYTES, bytes_of
 
 
-def search(vectors: DataFrame, query: Column, k: int, where: Column | None = None, digits: int = 6) -> DataFrame:
-    """id, row_idx, score of the k nearest rows; predicates come first, ties go to the earlier row."""
+def search(vectors: DataFrame, query: Column, k: int, where: Column | None = None, digits: int | None = 6) -> DataFrame:
+    """id, row_idx, score of the k nearest rows; predicates come first, ties go to the earlier row. Scores are rounded after they are ranked."""
     rows = vectors if where is None else vectors.where(where)
-    return rows.select("id", "row_idx", F.round(dot(F.col("embedding"), query), digits).alias("score")).orderBy(F.desc("score"), "row_idx").limit(k)
+    best = rows.select("id", "row_idx", dot(F.col("embedding"), query).alias("score")).orderBy(F.desc("score"), "row_idx").limit(k)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """qid, id, row_idx, score, rank of the k nearest rows of each query(qid, qvec). Queries are broadcast up to a checked number, beyond it both sides are parted in blocks."""
-    rows = vectors.select("id", "row_idx", "embedding")
-    scored = rows.join(small(queries.select("qid", "qvec")), F.lit(True)).select("qid", "id", "row_idx", F.round(dot(F.col("embedding"), F.col("qvec")), digits).alias("score"))
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
+    """qid, id, row_idx, score, rank of the k nearest rows of each query(qid, qvec). Queries are broadcast up to a checked size, beyond it both sides are parted in blocks."""
+    rows, asked = vectors.select("id", "row_idx", "embedding"), queries.select("qid", "qvec")
+    if bytes_of(asked) <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(asked), F.lit(True))
+    else:
+        n = max(1, math.isqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        every = F.sequence(F.lit(0), F.lit(n - 1))
+        left = rows.select("*", F.pmod(F.xxhash64("row_idx"), F.lit(n)).cast("int").alias("ba"), F.explode(every).alias("bb"))
+        right = asked.select("*", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int").alias("bb"), F.explode(every).alias("ba"))
+        met = left.join(right, ["ba", "bb"])
+    scored = met.select("qid", "id", "row_idx", dot(F.col("embedding"), F.col("qvec")).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "row_idx")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
 def similar(vectors: DataFrame, items: DataFrame, node: str, k: int = 8, cross_tier: bool = False, product: str | None = None) -> DataFrame:
@@ -37,10 +47,11 @@ def similar(vectors: DataFrame, items: DataFrame, node: str, k: int = 8, cross_t
     rows = rows.crossJoin(F.broadcast(one))  # one row
     if not cross_tier:
         rows = rows.where(F.col("qtier").isNull() | (F.col("qtier") == "") | F.col("tier").eqNullSafe(F.col("qtier")))
-    return rows.select("id", "row_idx", F.round(dot(F.col("embedding"), F.col("qvec")), 6).alias("score")).orderBy(F.desc("score"), "row_idx").limit(k)
+    best = rows.select("id", "row_idx", dot(F.col("embedding"), F.col("qvec")).alias("score")).orderBy(F.desc("score"), "row_idx").limit(k)
+    return best.withColumn("score", F.round("score", 6))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, digits: int = 6) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, digits: int | None = 6) -> DataFrame:
     """a, b, score for all pairs a < b (by row_idx) with score at the threshold or above.
 
     Rows fall into blocks; each pair of blocks is one join key, so the work is spread evenly, no side is broadcast, and a row is
@@ -50,5 +61,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
     all_blocks = F.sequence(F.lit(0), F.lit(n - 1))
     left = v.select(F.col("row_idx").alias("a"), F.col("embedding").alias("va"), F.col("blk").alias("ba"), F.explode(all_blocks).alias("bb"))
     right = v.select(F.col("row_idx").alias("b"), F.col("embedding").alias("vb"), F.col("blk").alias("bb"), F.explode(all_blocks).alias("ba"))
-    s = F.round(dot(F.col("va"), F.col("vb")), digits)
-    return left.join(right, ["ba", "bb"]).where(F.col("a") < F.col("b")).select("a", "b", s.alias("score")).where(F.col("score") >= threshold)
+    s = dot(F.col("va"), F.col("vb"))
+    near = left.join(right, ["ba", "bb"]).where(F.col("a") < F.col("b")).select("a", "b", s.alias("score")).where(F.col("score") >= threshold)
+    return near if digits is None else near.withColumn("score", F.round("score", digits))

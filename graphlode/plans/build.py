@@ -36,7 +36,7 @@ def run_embed(spark: SparkSession, out: str, provider: str = "hash", levels: tup
     items = files.load(spark, out, "items").where(F.col("lvl").isin(*levels))
     files.save(embed.embed(items, provider, model, Settings.load(spark).embed_batch), out, "vectors", by_level=True)
     told = files.load_text(spark, out, "manifest")
-    told["embedding"] = {"provider": provider, "model": model or provider}
+    told["embedding"] = {"provider": provider, "model": model or embed.MODELS.get(provider, provider)}
     for r in files.load(spark, out, "vectors").groupBy("lvl").agg(F.first("dim").alias("dim"), F.count("*").alias("n")).collect():
         told["levels"].setdefault(r["lvl"], {}).update(dim=r["dim"], vectors=r["n"])
     files.save_text(spark, out, "manifest", told)
@@ -70,7 +70,7 @@ class Base:
         """qid, query, qvec by the provider that the base was embedded with."""
         how = files.load_text(self.spark, self.out, "manifest")["embedding"]
         rows = queries.select(F.lit("query").alias("lvl"), F.col("qid").alias("id"), F.lit(0).cast("bigint").alias("row_idx"), F.col("query").alias("text"))
-        v = embed.embed(rows, how["provider"], how["model"])
+        v = embed.embed(rows, how["provider"], how["model"], kind="query")
         return queries.join(v.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
 
     def retrieve(self, text: str, level: str = "chunk", k: int = 8, tier: str | None = None, product: str | None = None) -> DataFrame:
@@ -104,8 +104,8 @@ class Base:
         out, q = None, self.query_vectors(queries.select("qid", "query"))
         for lvl in levels:
             it = self.items(lvl)
-            bm = bm25.top(bm25.scores(queries, bm25.postings(it), bm25.corpus_stats(it)), cand_n)
-            c = ranking.candidates(vectors.search_many(self.vectors(lvl), q, cand_n), bm, lvl, cand_n)
+            bm = bm25.top(bm25.scores(queries, bm25.postings(it), bm25.corpus_stats(it)), cand_n, digits=None)
+            c = ranking.candidates(vectors.search_many(self.vectors(lvl), q, cand_n, digits=None), bm, lvl, cand_n)
             out = c if out is None else out.unionByName(c)
         return stored(out, "candidates")
 

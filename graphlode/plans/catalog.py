@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode.config import METRICS, Settings
@@ -16,12 +17,14 @@ from graphlode.functions import rng
 from graphlode.functions import text as tx
 from graphlode.operators import bm25, cluster, embed, graph, ingest, metrics, ranking, splits, vectors
 from graphlode.operators import labels as lb
+from graphlode.operators.tables import stored
+from graphlode.plans.evaluation import evaluate, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 CAND, THETA = Settings.candidates, 0.35
-#: The SQL's number of candidates, not the queries': tests put CAND in its place.
-SQL_CAND = 50
+#: The SQL's number of candidates.
+SQL_CAND = CAND
 GRID = ranking.expand_grid(signals=("vector", "bm25", "linear", "rrf"), alphas=(0.25, 0.5))
 
 
@@ -59,6 +62,10 @@ def asked(it: DataFrame) -> DataFrame:
 TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 
 
+#: A sum that doesn't depend on the order of rows.
+FIXED = "CAST(sum(CAST(round(({}) / 1e-12::DOUBLE) AS BIGINT)) AS DOUBLE) * 1e-12::DOUBLE"
+
+
 def bm25_sql(docs: str, qs: str, k: int) -> str:
     """CTEs p, n, s ending in bt(qid, id, score, rank); docs has id, text, qs has qid, query."""
     return f"""
@@ -68,14 +75,14 @@ n AS (SELECT count(*) AS n, sum(len(t)) / greatest(count(*), 1) AS avgdl FROM dt
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qx AS (SELECT qid, {TOK.format('query')} AS t FROM {qs}),
 qt AS (SELECT qid, term, min(pos) AS pos FROM (SELECT qid, unnest(t) AS term, unnest(range(len(t))) AS pos FROM qx) GROUP BY qid, term),
-bs AS (SELECT qid, id, round(sum(ln(1 + (n.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / n.avgdl))), 6) AS score, min(pos) AS pos
+bs AS (SELECT qid, id, {FIXED.format('ln(1 + (n.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / n.avgdl))')} AS score, min(pos) AS pos
   FROM qt JOIN p USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY qid, id),
 bt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos, id) AS rank FROM bs) WHERE rank <= {k})"""
 
 
 IT = "it AS (SELECT d.doc_id AS id, d.text, d.source, d.lang, e.embedding::DOUBLE[] AS v, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
 QS = "q AS (SELECT id AS qid, string_split(text, chr(10))[1] AS query, v AS qv, source AS product, lang AS field, label FROM it WHERE id % 20 = 0)"
-VT = f"vt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(list_inner_product(v, qv), 6) AS score FROM it, q)) WHERE rank <= {SQL_CAND})"
+VT = f"vt AS (SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, list_inner_product(v, qv) AS score FROM it, q)) WHERE rank <= {SQL_CAND})"
 CAND_SQL = f"{IT}, {QS}, {VT}, {bm25_sql('it', 'q', SQL_CAND)}, c AS (SELECT coalesce(vt.qid, bt.qid) AS qid, coalesce(vt.id, bt.id) AS id, vt.score AS vs, vt.rank AS vr, bt.score AS bs, bt.rank AS br, coalesce(vt.rank, {SQL_CAND} + bt.rank) AS arrival FROM vt FULL JOIN bt ON vt.qid = bt.qid AND vt.id = bt.id)"
 NORM = """cn AS (SELECT *, coalesce((vs - min(vs) OVER w) / coalesce(nullif(max(vs) OVER w - min(vs) OVER w, 0), 1), 0) AS nv,
   coalesce((bs - min(bs) OVER w) / coalesce(nullif(max(bs) OVER w - min(bs) OVER w, 0), 1), 0) AS nb FROM c WINDOW w AS (PARTITION BY qid))"""
@@ -86,15 +93,15 @@ def ranked_sql(grid: str, node: str) -> str:
     return f"""{CAND_SQL}, {NORM}, {grid},
 sc AS (SELECT qid, config_key, pool, {node} AS node, arrival, CASE signal WHEN 'vector' THEN vs WHEN 'bm25' THEN bs WHEN 'linear' THEN alpha * nv + (1 - alpha) * nb
   ELSE coalesce(1.0::DOUBLE / (rrf_k + vr), 0) + coalesce(1.0::DOUBLE / (rrf_k + br), 0) END AS s FROM cn CROSS JOIN g),
-po AS (SELECT qid, config_key, node, round(CASE any_value(pool) WHEN 'mean' THEN avg(s) WHEN 'sum' THEN sum(s) ELSE max(s) END, 6) AS score, min(arrival) AS arrival FROM sc WHERE s IS NOT NULL GROUP BY qid, config_key, node),
-r AS (SELECT qid, config_key, node, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, config_key ORDER BY score DESC, arrival, node) AS rank FROM po) WHERE rank <= 100)"""
+po AS (SELECT qid, config_key, node, CASE any_value(pool) WHEN 'mean' THEN {FIXED.format('s')} / count(*) WHEN 'sum' THEN {FIXED.format('s')} ELSE max(s) END AS score, min(arrival) AS arrival FROM sc WHERE s IS NOT NULL GROUP BY qid, config_key, node),
+r AS (SELECT qid, config_key, node, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, config_key ORDER BY score DESC, arrival, node) AS rank FROM po) WHERE rank <= 100)"""
 
 
 def gathered(spark: SparkSession, sf: str) -> DataFrame:
     it = items(spark, sf)
     q = asked(it)
-    vec = vectors.search_many(it, q, CAND)
-    bm = bm25.top(bm25.scores(q, bm25.postings(it), bm25.corpus_stats(it)), CAND)
+    vec = vectors.search_many(it, q, CAND, digits=None)
+    bm = bm25.top(bm25.scores(q, bm25.postings(it), bm25.corpus_stats(it)), CAND, digits=None)
     return ranking.candidates(vec, bm, "doc", CAND)
 
 
@@ -152,31 +159,65 @@ def node_ids(spark, sf):
 HREF = "href=\"([^\"]*)\""
 
 
-@query(rf"SELECT page_id, href, NOT regexp_matches(href, '(?i)^(https?:|mailto:|tel:|#)') AND (href LIKE '/%' OR href LIKE '.%' OR regexp_matches(href, '(?i)\.(md|mdx)(#|$)')) AS internal, regexp_replace(regexp_replace(CASE WHEN href LIKE '/docs/%' THEN substr(href, 7) WHEN href LIKE '/%' THEN substr(href, 2) ELSE href END, '(?i)\.(md|mdx)$', ''), '/$', '') AS key FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages) WHERE href LIKE '/%'")
+HREF_SQL = f"(SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS h FROM pages)"
+
+
+def hrefs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("h"))
+
+
+@query(rf"""WITH v AS (SELECT page_id, h, unnest([{{'href': h, 'key': CASE WHEN h LIKE '/docs/%' THEN substr(h, 7) WHEN h LIKE '/%' THEN substr(h, 2) ELSE array_to_string(list_concat(['a', 'b'], list_filter(string_split(h, '/'), lambda x: x NOT IN ('', '.'))), '/') END}},
+  {{'href': '..' || h || '.md', 'key': 'a' || h || '.md'}}, {{'href': './x/..' || h || '/', 'key': 'a/b' || h || '/'}}, {{'href': 'https://e.org' || h, 'key': 'a/b/https:/e.org' || h}}]) AS e FROM {HREF_SQL})
+SELECT page_id, e.href AS href, NOT regexp_matches(e.href, '(?i)^(https?:|mailto:|tel:|#)') AND (e.href LIKE '/%' OR e.href LIKE '.%' OR regexp_matches(e.href, '(?i)\.(md|mdx)(#|$)')) AS internal,
+  regexp_replace(regexp_replace(e.key, '(?i)\.(md|mdx)$', ''), '/$', '') AS key FROM v""")
 def url_path_normalize(spark, sf):
-    h = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href")).where(F.col("href").startswith("/"))
-    return h.select("page_id", "href", tx.is_internal(F.col("href")).alias("internal"), tx.path_normalize(F.col("href"), F.array()).alias("key"))
+    """Each link of a page as it is, and as relative and outside links."""
+    forms = F.array("h", F.concat(F.lit(".."), "h", F.lit(".md")), F.concat(F.lit("./x/.."), "h", F.lit("/")), F.concat(F.lit("https://e.org"), "h"))
+    h = hrefs(spark, sf).select("page_id", F.explode(forms).alias("href"))
+    return h.select("page_id", "href", tx.is_internal(F.col("href")).alias("internal"), tx.path_normalize(F.col("href"), F.array(F.lit("a"), F.lit("b"))).alias("key"))
 
 
-@query("SELECT doc_id, left(trim(string_split(text, chr(10))[1] || chr(10) || lang || chr(10) || 'Sections: ' || array_to_string(string_split(text, chr(10))[1:40], ' · ') || chr(10) || left(trim(text, ' ' || chr(10)), 600), ' ' || chr(10)), 1600) AS text FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''")
+@query("SELECT doc_id, left(trim(concat_ws(chr(10), nullif(string_split(text, chr(10))[1], ''), nullif(lang, ''), 'Sections: ' || array_to_string(string_split(text, chr(10))[1:40], ' · '), nullif(left(trim(text, ' ' || chr(10)), 600), '')), ' ' || chr(10)), 1600) AS text FROM documents")
 def doc_embed_text(spark, sf):
-    d = read(spark, sf, "documents").withColumn("h", F.split("text", "\n")).where(F.trim(F.col("h")[0]) != "")
+    d = read(spark, sf, "documents").withColumn("h", F.split("text", "\n"))
     none = F.array().cast("array<string>")
     return d.select("doc_id", tx.doc_embed_text(F.col("h")[0], F.col("lang"), F.lit("docs"), none, none, F.col("h"), F.col("text"), F.lit("")).alias("text"))
 
 
-@query("SELECT doc_id, i, substr(text, i * 1040 + 1, 1280) AS piece FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1040.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 1280) UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 1280")
+PIECES = "list_transform(range(0, len({0}), 1040), lambda z: substr({0}, z + 1, 1280))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, regexp_split_to_array(text, '\n{{2,}}') AS ps FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL)),
+w(doc_id, i, now, out) AS (
+  SELECT doc_id, 0::BIGINT, '', []::VARCHAR[] FROM d WHERE length(text) > 1280
+  UNION ALL
+  SELECT w.doc_id, i + 1,
+    CASE WHEN length(ps[i + 1]) > 1280 THEN '' WHEN length(now) + 2 + length(ps[i + 1]) > 1280 THEN CASE WHEN now = '' THEN ps[i + 1] WHEN ps[i + 1] = '' THEN right(now, 240) ELSE right(now, 240) || chr(10) || chr(10) || ps[i + 1] END
+      WHEN now = '' THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END,
+    CASE WHEN length(ps[i + 1]) > 1280 THEN list_concat(CASE WHEN now = '' THEN out ELSE list_append(out, now) END, {PIECES.format('ps[i + 1]')})
+      WHEN length(now) + 2 + length(ps[i + 1]) > 1280 AND now <> '' THEN list_append(out, now) ELSE out END
+  FROM w JOIN d USING (doc_id) WHERE i < len(ps)),
+f AS (SELECT doc_id, CASE WHEN now = '' THEN out ELSE list_append(out, now) END AS out FROM w JOIN d USING (doc_id) WHERE i = len(ps)
+  UNION ALL SELECT doc_id, [text] FROM d WHERE length(text) <= 1280)
+SELECT doc_id, unnest(range(len(out))) AS i, unnest(out) AS piece FROM f""")
 def chunk_windows(spark, sf):
-    d = read(spark, sf, "documents")
-    n = F.length("text")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 1040).cast("int")), lambda i: F.substring(F.col("text"), i * 1040 + 1, F.lit(1280)))
-    return d.select("doc_id", F.posexplode(F.when(n > 1280, cut).otherwise(F.array("text"))).alias("i", "piece")).select("doc_id", F.col("i").cast("bigint").alias("i"), "piece")
+    """The documents' texts, their lines as paragraphs, packed into windows."""
+    from graphlode.sources.markdown import windows
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: windows(t, Settings.chunk_chars, Settings.overlap_chars))
+
+    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return d.select("doc_id", F.posexplode(cut("text")).alias("i", "piece")).select("doc_id", F.col("i").cast("bigint").alias("i"), "piece")
 
 
-@query("SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS src, turn AS dst FROM conversations QUALIFY src IS NOT NULL")
+# As the items of a document follow one another, so do the turns of a conversation: each is a file whose chunks are its turns.
+@query("SELECT 'chunk:c' || conv_id || '#' || (i - 1) AS src, 'chunk:c' || conv_id || '#' || i AS dst FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations) WHERE i > 0")
 def chunk_next_edges(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return read(spark, sf, "conversations").select("conv_id", F.lag("turn").over(w).alias("src"), F.col("turn").alias("dst")).where("src IS NOT NULL")
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    docs = c.select(F.concat(F.lit("c"), "conv_id").alias("doc_id"), F.col("conv_id").alias("seq"), F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("idx", "c"))
+    return ingest.next_edges(docs).select("src", "dst")
 
 
 # --- embeddings and vector search -------------------------------------------
@@ -194,10 +235,11 @@ def hash_embed_documents(spark, sf):
     return embed.embed(rows, "hash")
 
 
-@query("SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+@query("SELECT vec_id AS id, round(score, 6) AS score FROM (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10)")
 def vector_topk(spark, sf):
     v = vecs(spark, sf)
-    return with_vector(v, 0, v).select("id", "score")
+    one = v.where("id = 0").select("embedding").first()["embedding"]  # the query's vector
+    return vectors.search(v, F.array(*map(F.lit, one)), 10).select("id", "score")
 
 
 def with_vector(v: DataFrame, at: int, rows: DataFrame, k: int = 10) -> DataFrame:
@@ -205,19 +247,19 @@ def with_vector(v: DataFrame, at: int, rows: DataFrame, k: int = 10) -> DataFram
     return vectors.search_many(rows, one, k)
 
 
-@query("SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT 10")
+@query("SELECT vec_id AS id, round(score, 6) AS score FROM (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10)")
 def vector_topk_filtered(spark, sf):
     v = vecs(spark, sf)
     return with_vector(v, 0, v.where("label = 3")).select("id", "score")
 
 
-@query("SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 20")
+@query("SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 20")
 def vector_topn_multi(spark, sf):
     v = vecs(spark, sf)
     return vectors.search_many(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), 20).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-SIMILAR = "WITH it AS (SELECT d.doc_id AS id, CASE WHEN lang = 'en' THEN 'docs' ELSE 'kb' END AS tier, source, embedding::DOUBLE[] AS v FROM documents d JOIN embeddings ON vec_id = doc_id) SELECT it.id, round(list_inner_product(it.v, q.v), 6) AS score FROM it, it q WHERE q.id = 1 AND it.id <> 1 {} ORDER BY score DESC, it.id LIMIT 8"
+SIMILAR = "WITH it AS (SELECT d.doc_id AS id, CASE WHEN lang = 'en' THEN 'docs' ELSE 'kb' END AS tier, source, embedding::DOUBLE[] AS v FROM documents d JOIN embeddings ON vec_id = doc_id) SELECT id, round(score, 6) AS score FROM (SELECT it.id, list_inner_product(it.v, q.v) AS score FROM it, it q WHERE q.id = 1 AND it.id <> 1 {} ORDER BY score DESC, it.id LIMIT 8)"
 
 
 def similar_to(spark: SparkSession, sf: str, **kw) -> DataFrame:
@@ -244,19 +286,20 @@ def similar_in_product(spark, sf):
 # --- lexical and hybrid ranking ---------------------------------------------
 
 
-@query(f"WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark), d AS (SELECT doc_id AS id, text FROM documents), {bm25_sql('d', 'q', 10)} SELECT * FROM bt")
+@query(f"WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark), d AS (SELECT doc_id AS id, text FROM documents), {bm25_sql('d', 'q', 10)} SELECT qid, id, round(score, 6) AS score, rank FROM bt")
 def bm25_topk(spark, sf):
     d = documents(spark, sf)
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return bm25.top(bm25.scores(q, bm25.postings(d), bm25.corpus_stats(d)), 10).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {CAND_SQL} SELECT qid, id, coalesce(vs, -1) AS v_score, coalesce(vr, 0) AS v_rank, coalesce(bs, -1) AS b_score, coalesce(br, 0) AS b_rank FROM c")
+@query(f"WITH {CAND_SQL} SELECT qid, id, round(coalesce(vs, -1), 6) AS v_score, coalesce(vr, 0) AS v_rank, round(coalesce(bs, -1), 6) AS b_score, coalesce(br, 0) AS b_rank FROM c")
 def candidates_fullouter(spark, sf):
     def known(c: str, kind: str, none: int) -> Column:
         return F.coalesce(F.col(c), F.lit(none)).cast(kind).alias(c)
 
-    return gathered(spark, sf).select("qid", "id", known("v_score", "double", -1), known("v_rank", "bigint", 0), known("b_score", "double", -1), known("b_rank", "bigint", 0))
+    c = gathered(spark, sf).select("qid", "id", known("v_score", "double", -1), known("v_rank", "bigint", 0), known("b_score", "double", -1), known("b_rank", "bigint", 0))
+    return c.withColumns({k: F.round(k, 6) for k in ("v_score", "b_score")})
 
 
 def ranked(spark: SparkSession, sf: str, grid: list[tuple], node: Column | None = None) -> DataFrame:
@@ -294,15 +337,28 @@ def hybrid_labels(spark: SparkSession, sf: str) -> DataFrame:
     return asked(it).join(gold, "label").select("qid", "golds", (F.col("qid") % 5).cast("string").alias("grp"), "product", "field", F.col("qid").alias("seq"))
 
 
-@query(f"WITH {IT}, {QS}, {LABELS} SELECT qid, product, field, CAST(grp AS VARCHAR) AS grp, ng AS n_gold FROM l")
+# Parts stand for articles, suppliers for their keywords; a part's symptom heading tells its type.
+@query("""WITH k AS (SELECT l_partkey AS p, l_suppkey AS s, min(l_orderkey * 100 + l_linenumber) AS seq FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL),
+f AS (SELECT p_partkey AS p, p_brand, 0 AS f, 'title' AS field, p_name AS query FROM part UNION ALL SELECT p_partkey, p_brand, 1, 'description', 'a ' || lower(p_type) || ' part' FROM part
+  UNION ALL SELECT p_partkey, p_brand, 2, 'keywords', string_agg(s_name, ' ' ORDER BY k.seq, s_name) FROM part JOIN k ON k.p = p_partkey JOIN supplier ON s_suppkey = k.s GROUP BY p_partkey, p_brand
+  UNION ALL SELECT p_partkey, p_brand, 4, 'symptom', p_type || ' ' || p_size FROM part WHERE p_size % 2 = 0)
+SELECT CAST(row_number() OVER (ORDER BY p, f) - 1 AS VARCHAR) || ':' || field || ':kb:' || p AS qid, query, field, 'kb:' || p AS gold, 'kb:' || p AS grp, p_brand AS product, 'kb' AS target_tier FROM f WHERE query <> ''""")
 def labels_build(spark, sf):
-    return hybrid_labels(spark, sf).select("qid", "product", "field", "grp", F.size("golds").cast("bigint").alias("n_gold"))
+    part, sup, li = (read(spark, sf, t) for t in ("part", "supplier", "lineitem"))
+    none = F.lit(None).cast("string")
+    nodes = part.select(F.concat(F.lit("kb:"), "p_partkey").alias("id"), F.lit("KBArticle").alias("type"), F.col("p_name").alias("label"), F.concat(F.lit("a "), F.lower("p_type"), F.lit("  part ")).alias("description"), F.col("p_brand").alias("product_id"), F.col("p_partkey").alias("seq"))
+    nodes = nodes.unionByName(sup.select(F.concat(F.lit("kw:"), "s_suppkey").alias("id"), F.lit("Keyword").alias("type"), F.col("s_name").alias("label"), none.alias("description"), none.alias("product_id"), F.col("s_suppkey").alias("seq")))
+    edges = li.select(F.concat(F.lit("kb:"), "l_partkey").alias("src"), F.concat(F.lit("kw:"), "l_suppkey").alias("dst"), F.lit("MENTIONS").alias("rel"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    edges = graph.merge_edges(edges, nodes)
+    heads = part.where("p_size % 2 = 0").select(F.lit("kb").alias("tier"), F.concat(F.lit("head:kb:"), "p_partkey", F.lit("#symptoms")).alias("id"), F.lit("Symptoms").alias("label"), F.concat("p_name", F.lit("\n"), "p_type", F.lit("\n "), "p_size").alias("text"), F.col("p_partkey").alias("row_idx"))
+    lab = lb.build(nodes, edges, heads)
+    return lab.select("qid", "query", "field", F.col("golds")[0].alias("gold"), "grp", "product", "target_tier")
 
 
 @query("SELECT item_id AS qid, doc_id AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def labels_from_passages(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    return read(spark, sf, "documents").join(bm25.small(b), F.contains(F.col("text"), F.col("passage"))).select("qid", F.col("doc_id").alias("gold"))
+    return lb.passages(b, read(spark, sf, "documents").select("doc_id", "text")).select("qid", F.col("doc_id").alias("gold"))
 
 
 @query(f"WITH {IT}, {QS}, {LABELS} SELECT 'product' AS kind, product AS name, count(*) AS n FROM l GROUP BY product UNION ALL SELECT 'field', field, count(*) FROM l GROUP BY field UNION ALL SELECT 'records', '', count(*) FROM l UNION ALL SELECT 'groups', '', count(DISTINCT grp) FROM l")
@@ -322,7 +378,7 @@ AVGS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 def measured(spark: SparkSession, sf: str) -> DataFrame:
     configs = grid_df(spark, GRID)
     r = ranking.rank(gathered(spark, sf), configs)
-    return metrics.per_query(r, hybrid_labels(spark, sf), configs, digits=12)
+    return stored(metrics.per_query(r, hybrid_labels(spark, sf), configs, digits=12), "measured")
 
 
 @query(f"WITH {MET} SELECT qid, config_key, grp, product, field, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM m")
@@ -364,7 +420,8 @@ rs AS (SELECT dr.config_key, b, sum(total) / greatest(sum(cnt), 1) AS v FROM dr
 li AS (SELECT config_key, list_sort(list(v)) AS vs FROM rs GROUP BY config_key)
 SELECT m.config_key, round(avg(ndcg10), 6) AS mean, round(any_value(vs)[13], 6) AS lo, round(any_value(vs)[488], 6) AS hi, count(*) AS n FROM m JOIN li USING (config_key) GROUP BY m.config_key""")
 def bootstrap_ci(spark, sf):
-    return metrics.bootstrap(measured(spark, sf), "ndcg10")
+    found = evaluate(gathered(spark, sf), hybrid_labels(spark, sf), grid_df(spark, GRID))["overall"]
+    return found.where("metric = 'ndcg10'").drop("metric")
 
 
 @query(f"WITH base AS (SELECT o_orderkey AS n FROM orders) SELECT n, u FROM ({draw_sql('7', 'n')})")
@@ -372,16 +429,28 @@ def prng_draws(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), rng.draw(F.lit(7), F.col("o_orderkey")).alias("u"))
 
 
-@query()
+SHUFFLE = f"""WITH RECURSIVE o AS (SELECT CAST(o_custkey AS VARCHAR) AS grp, arg_min(o_orderpriority, o_orderkey) AS stratum, min(o_orderkey) AS first FROM orders GROUP BY o_custkey),
+st AS (SELECT stratum, list(grp ORDER BY first, grp) AS l, count(*) AS n, xor(1::BIGINT, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(stratum, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS BIGINT)) AS seed FROM o GROUP BY stratum),
+base AS (SELECT stratum, seed, n, unnest(range(1, n)) AS k FROM st),
+dr AS (SELECT stratum, k, n - k AS i, CAST(floor(u * (n - k + 1)) AS BIGINT) AS j FROM ({draw_sql('seed', 'k')})),
+fy(stratum, k, l) AS (SELECT stratum, 0::BIGINT, l FROM st
+  UNION ALL SELECT fy.stratum, fy.k + 1, CASE WHEN i = j THEN l ELSE list_concat(l[1:j], [l[i + 1]], l[j + 2:i], [l[j + 1]], l[i + 2:]) END FROM fy JOIN dr ON dr.stratum = fy.stratum AND dr.k = fy.k + 1),
+sh AS (SELECT fy.stratum, st.n, unnest(fy.l) AS grp, unnest(range(len(fy.l))) AS pos FROM fy JOIN st ON st.stratum = fy.stratum AND fy.k = greatest(st.n - 1, 0))
+"""
+
+
+def order_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("grp"), F.col("o_orderpriority").alias("product"), F.col("o_orderkey").alias("seq"))
+
+
+@query(SHUFFLE + "SELECT grp, stratum, CAST(pos % 5 AS INTEGER) AS fold FROM sh")
 def kfold_assign(spark, sf):
-    lab = read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("grp"), F.col("o_orderpriority").alias("product"), F.col("o_orderkey").alias("seq"))
-    return splits.kfold(lab)
+    return splits.kfold(order_labels(spark, sf))
 
 
-@query()
+@query(SHUFFLE + "SELECT grp, stratum, pos < greatest(1, floor(n * 0.3::DOUBLE + 0.5)) AS is_test FROM sh")
 def holdout_assign(spark, sf):
-    lab = read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("grp"), F.col("o_orderpriority").alias("product"), F.col("o_orderkey").alias("seq"))
-    return splits.holdout(lab)
+    return splits.holdout(order_labels(spark, sf))
 
 
 @query(f"WITH {IT}, {QS} SELECT n.product AS name, q.qid, q.product = n.product AS is_test FROM q, (SELECT DISTINCT product FROM q) n")
@@ -392,20 +461,17 @@ def lopo_folds(spark, sf):
 @query(f"""WITH {MET}, f AS (SELECT config_key, product, avg(ndcg10) AS v FROM m GROUP BY config_key, product)
 SELECT config_key, round(avg(v), 6) AS metric, round(coalesce(stddev_samp(v), 0), 6) AS std, row_number() OVER (ORDER BY round(avg(v), 6) DESC, any_value(place)) AS rank FROM f JOIN g USING (config_key) GROUP BY config_key""")
 def tune_leaderboard(spark, sf):
-    from graphlode.plans.evaluation import leaderboard
-
-    m = measured(spark, sf)
-    folds = m.select("qid", F.col("product").alias("fold")).distinct()
-    return leaderboard(m, folds, grid_df(spark, GRID), "ndcg10").select("config_key", "metric", "std", F.col("rank").cast("bigint").alias("rank"))
+    got = tune(gathered(spark, sf), hybrid_labels(spark, sf), grid_df(spark, GRID), "ndcg10", lopo=True)
+    return got["leaderboard"].select("config_key", "metric", "std", F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- graph ------------------------------------------------------------------
 
-PAIRS = f"pr AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE score >= {THETA})"
+PAIRS = f"pr AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE score >= {THETA})"
 COMPONENTS = f"{PAIRS}, e AS (SELECT a AS u, b AS v FROM pr UNION SELECT b, a FROM pr), reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v), cc AS (SELECT u AS id, least(min(v), u) AS root FROM reach GROUP BY u)"
 
 
-@query(f"WITH {PAIRS} SELECT * FROM pr")
+@query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM pr")
 def similarity_pairs(spark, sf):
     return vectors.similar_pairs(vecs(spark, sf), THETA)
 
@@ -461,10 +527,13 @@ def _neighbour_queries() -> None:
 _neighbour_queries()
 
 
-@query(f"SELECT 'page:' || page_id AS src, href AS dst, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages) GROUP BY 1, 2")
+# Pages are nodes, and of their links those that a page with an even id has; edges to others are left out.
+@query(f"SELECT DISTINCT 'page:' || page_id AS src, h AS dst, 'LINKS_TO' AS rel FROM {HREF_SQL} WHERE h IN (SELECT h FROM {HREF_SQL} WHERE page_id % 2 = 0)")
 def graph_edges_dedup(spark, sf):
-    h = read(spark, sf, "pages").select(F.concat(F.lit("page:"), "page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("dst"))
-    return h.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    h = hrefs(spark, sf)
+    nodes = read(spark, sf, "pages").select(F.concat(F.lit("page:"), "page_id").alias("id")).unionByName(h.where("page_id % 2 = 0").select(F.col("h").alias("id")).distinct())
+    edges = h.select(F.concat(F.lit("page:"), "page_id").alias("src"), F.col("h").alias("dst"), F.lit("LINKS_TO").alias("rel"), F.col("page_id").alias("seq"))
+    return graph.merge_edges(edges, nodes).select("src", "dst", "rel")
 
 
 @query("SELECT DISTINCT array_to_string(p[1:i], '/') AS id, array_to_string(p[1:i - 1], '/') AS parent, p[i] AS label FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages))")
@@ -487,16 +556,20 @@ def node_merge(spark, sf):
     return graph.merge_nodes(o).select("id", F.col("attrs")["label"].alias("label"), "type")
 
 
-LINKS = [("doc:a", "x", "../y/b.md"), ("doc:a", "x", "/docs/y/b"), ("doc:b", "y", "./b.md"), ("doc:b", "y", "/x/a/"), ("doc:c", "z", "missing.md"), ("doc:c", "z", "/y/b.mdx")]
-PATHS = [("doc:a", "x/a", 1), ("doc:b", "y/b", 2), ("doc:old", "x/a", 0)]
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES ('doc:a', 'y/b'), ('doc:a', 'y/b'), ('doc:b', 'y/b'), ('doc:b', 'x/a'), ('doc:c', 'z/missing'), ('doc:c', 'y/b')) t(src, key)),
-k AS (SELECT key, arg_max(id, seq) AS dst FROM (VALUES {', '.join(map(str, PATHS))}) k(id, key, seq) GROUP BY key) SELECT src, dst, count(*) AS n FROM t JOIN k USING (key) WHERE src <> dst GROUP BY src, dst""")
+# Pages as documents: each lies at its first link's path and has its links in three forms.
+@query(rf"""WITH d AS (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS hs FROM pages), f AS (SELECT page_id, substr(hs[1], 2) || '.md' AS path, hs FROM d WHERE len(hs) > 0),
+k AS (SELECT key, max(page_id) AS dst FROM (SELECT page_id, unnest([regexp_replace(path, '\.md$', ''), path, 'page/' || page_id]) AS key FROM f) GROUP BY key),
+t AS (SELECT page_id, unnest(range(3 * len(hs))) AS place, unnest(list_concat(hs, hs, hs)) AS h FROM f),
+n AS (SELECT page_id, place, regexp_replace(regexp_replace(substr(h, 2), '(?i)\.(md|mdx)$', ''), '/$', '') AS key FROM t),
+r AS (SELECT n.page_id, place, coalesce(a.dst, b.dst, c.dst) AS dst FROM n LEFT JOIN k a ON a.key = n.key LEFT JOIN k b ON b.key = n.key || '.md' LEFT JOIN k c ON c.key = 'docs/' || n.key)
+SELECT 'doc:' || page_id AS src, 'doc:' || dst AS dst, CAST(place AS BIGINT) AS place FROM r WHERE dst IS NOT NULL AND dst <> page_id""")
 def link_resolve(spark, sf):
-    t = spark.createDataFrame(LINKS, "src string, dir string, href string").select("src", tx.path_normalize(F.col("href"), F.array("dir")).alias("key"))
-    k = spark.createDataFrame(PATHS, "id string, key string, seq int").groupBy("key").agg(F.max_by("id", "seq").alias("dst"))
-    return t.join(k, "key").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    d = read(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit(HREF), F.lit(1)).alias("hs")).where(F.size("hs") > 0)
+    path = F.concat(F.substring(F.col("hs")[0], 2, 1 << 30), F.lit(".md"))
+    up = F.concat(F.array_join(F.transform(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), lambda x: F.lit("..")), "/"), F.lit(""))
+    forms = F.concat("hs", F.transform("hs", lambda h: F.concat(F.when(up == "", F.lit(".")).otherwise(up), h, F.lit(".md"))), F.transform("hs", lambda h: F.concat(F.lit("/docs"), h, F.lit("/"))))
+    docs = d.select(F.concat(F.lit("doc:"), "page_id").alias("doc_id"), F.col("page_id").alias("seq"), path.alias("path"), F.split(path, "/").alias("parts"), F.concat(F.lit("/page/"), "page_id").alias("url"), forms.alias("links"))
+    return ingest.link_edges(docs).select("src", "dst", F.col("at").cast("bigint").alias("place"))
 
 
 @query("SELECT source AS product, count(*) FILTER (WHERE lang = 'en') AS n_docs, count(*) FILTER (WHERE lang <> 'en') AS n_kb, count(*) AS total, CAST(count(DISTINCT lang) FILTER (WHERE lang = 'en') AS INTEGER) AS n_versions FROM documents GROUP BY source")

@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from graphlode.config import METRICS
 from graphlode.operators import metrics, ranking, splits
+from graphlode.operators.tables import stored
 
 
 def evaluate(cand: DataFrame, labels: DataFrame, configs: DataFrame, node=None) -> dict[str, DataFrame]:
     """overall (each metric with its interval), macro, by_product and by_field (best or most first)."""
-    rows = metrics.per_query(ranking.rank(cand, configs, node=node), labels, configs)
-    overall = None
-    for m in METRICS:
-        one = metrics.bootstrap(rows, m).withColumn("metric", F.lit(m))
-        overall = one if overall is None else overall.unionByName(one)
-    return {"overall": overall, "macro": metrics.macro(rows), "by_product": metrics.means(rows, "config_key", "product").orderBy("config_key", F.desc("mrr"), "product"),
+    rows = stored(metrics.per_query(ranking.rank(cand, configs, node=node), labels, configs, digits=12), "measured")
+    return {"overall": metrics.bootstraps(rows, list(METRICS)), "macro": metrics.macro(rows), "by_product": metrics.means(rows, "config_key", "product").orderBy("config_key", F.desc("mrr"), "product"),
             "by_field": metrics.means(rows, "config_key", "field").orderBy("config_key", F.desc("n"), "field"), "rows": rows}
 
 
@@ -25,7 +22,7 @@ def leaderboard(rows: DataFrame, folds: DataFrame, configs: DataFrame, metric: s
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}: one of {METRICS}")
     names = folds.select("fold").distinct()
-    every = configs.select("config_key", "place").join(names, F.lit(True))
+    every = names.join(F.broadcast(configs.select("config_key", "place")), F.lit(True))  # a grid of a few rows
     got = rows.join(folds.select("qid", "fold").where("qid IS NOT NULL"), "qid").groupBy("config_key", "fold").agg(F.avg(metric).alias("v"))
     m = every.join(got, ["config_key", "fold"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     out = m.groupBy("config_key", "place").agg(F.round(F.avg("v"), digits).alias("metric"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), digits).alias("std"))
@@ -46,7 +43,7 @@ def tune(cand: DataFrame, labels: DataFrame, configs: DataFrame, metric: str = "
     else:
         every = pool.sparkSession.range(cv).select(F.lit(None).cast(pool.schema["qid"].dataType).alias("qid"), F.col("id").cast("string").alias("fold"))
         folds, scheme = pool.join(splits.kfold(pool, cv, stratify, seed), "grp").select("qid", F.col("fold").cast("string").alias("fold")).unionByName(every), f"{cv}-fold grouped"
-    rows = metrics.per_query(ranking.rank(cand, configs), pool, configs)
+    rows = stored(metrics.per_query(ranking.rank(cand, configs), pool, configs, digits=12), "measured")
     board = leaderboard(rows, folds, configs, metric)
     report = None
     if final is not None:

@@ -7,13 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode import schemas
 from graphlode.config import SKIP_DIRS, SKIP_FILES
 
 
+def wanted(path: Column) -> Column:
+    """Whether a relative path is a Markdown file outside the skipped folders and not a skipped file."""
+    parts = F.split(path, r"[\\/]")
+    outside = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIP_DIRS)))
+    return path.rlike(r"(?i)\.(md|mdx)\z") & outside & ~F.element_at(parts, -1).isin(*SKIP_FILES)
+
+
 def markdown_tree(spark: SparkSession, root: str, products: list[str] | None = None, limit: int = 0) -> DataFrame:
     """path (relative), parts, content, seq of the Markdown files below root, in order of path; skipped folders and unreadable files left out."""
     raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
@@ -21,8 +28,7 @@ def markdown_tree(spark: SparkSession, root: str, products: list[str] | None = N
     full = F.regexp_replace(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^file:/*(?=/)", "")
     files = raw.select(F.substring_index(full, base, -1).alias("path"), F.col("value").alias("content"))
     parts = F.split("path", r"[\\/]")
-    files = files.where(F.col("path").rlike(r"(?i)\.(md|mdx)\z")).withColumn("parts", parts)
-    files = files.where(~F.arrays_overlap(F.slice("parts", F.lit(1), F.size("parts") - 1), F.array(*map(F.lit, SKIP_DIRS))) & ~F.element_at("parts", -1).isin(*SKIP_FILES))
+    files = files.where(wanted(F.col("path"))).withColumn("parts", parts)
     if products:
         top = F.lower(F.when(F.col("parts")[0] == "kb", F.get("parts", F.lit(1))).otherwise(F.col("parts")[0]))
         files = files.where(F.coalesce(top, F.lit("")).isin(*[p.lower() for p in products]))

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphlode.operators import ingest
 from graphlode.sources import markdown
+from graphlode.sources.files import wanted
 
 
 def stream_items(spark: SparkSession, root: str, products: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -17,7 +18,7 @@ def stream_items(spark: SparkSession, root: str, products: DataFrame, out: str,
     named = raw.select(F.substring_index(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*(?=/)", ""), base, -1).alias("path"), F.col("value").alias("content"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.where(F.col("path").rlike(r"(?i)\.(md|mdx)\z")).withColumn("seq", F.xxhash64("path"))
+        rows = batch.where(wanted(F.col("path"))).withColumn("seq", F.xxhash64("path"))
         docs = ingest.classify(markdown.parsed(rows), products)
         ingest.items(docs).write.mode("overwrite").partitionBy("lvl").parquet(f"{out.rstrip('/')}/batch={epoch}")
 

@@ -8,7 +8,7 @@ import pytest
 from graphlode.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["bm25_topk", "rank_rrf", "pool_mean", "metrics_overall", "bootstrap_ci", "cluster_summary", "graph_stats", "hash_embed_buckets", "node_merge", "prng_draws", "similar_nodes", "tune_leaderboard", "url_path_normalize"]
+SOME = ["bm25_topk", "rank_rrf", "pool_mean", "metrics_overall", "bootstrap_ci", "cluster_summary", "graph_stats", "hash_embed_buckets", "node_merge", "prng_draws", "similar_nodes", "tune_leaderboard", "url_path_normalize", "chunk_windows", "chunk_next_edges", "graph_edges_dedup", "holdout_assign", "kfold_assign", "labels_build", "labels_from_passages", "link_resolve", "vector_topk"]
 
 
 def duck():
@@ -31,7 +31,7 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", ["candidates_fullouter", "rank_rrf", "rank_vector", "rank_bm25", "pool_sum", "metrics_overall"])
 def test_all_candidates(spark, name):
-    """200 candidates a signal, as the reference has; the registered SQL takes fewer."""
+    """200 candidates a signal, in the queries and in their SQL."""
     assert catalog.CAND == 200
     sql, few = catalog.ORACLE[name], catalog.SQL_CAND
     assert f"{few} + bt.rank" in sql and sql.count(f"rank <= {few})") == 2

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,78 @@ def test_cli(base, spark, capsys):
         cli.main(["--out", base.out, *args], spark)
     told = capsys.readouterr().out
     assert "root -> kbroot" in told and "kb:alpha" in told
+
+
+def test_rest_clients(spark, monkeypatch):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            seen.append((body["model"], len(body["input"]), body.get("input_type"), self.headers["authorization"]))
+            ok = "fail" not in body["input"]
+            data = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])][::-1]
+            self.send_response(200 if ok else 429)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": data}).encode() if ok else b"slow down")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([("doc", f"d{i}", i, "x" * i) for i in range(7)], "lvl string, id string, row_idx bigint, text string").coalesce(1)
+    for provider, key in (("openai", "OPENAI_API_KEY"), ("voyage", "VOYAGE_API_KEY")):
+        monkeypatch.delenv(key, raising=False)
+        with pytest.raises(ValueError, match=key):
+            embed.embed(rows, provider)
+        monkeypatch.setenv(key, "secret")
+        monkeypatch.setenv(f"GRAPHLODE_{provider.upper()}_URL", f"http://127.0.0.1:{server.server_port}/")
+        got = embed.embed(rows, provider, batch=3, kind="query").orderBy("row_idx").collect()
+        assert [round(r["embedding"][0] / r["embedding"][1]) for r in got] == [*range(7)]  # in the order of the texts
+        assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 and r["dim"] == 2 for r in got)
+    assert {s[1] for s in seen} == {3, 1} and {s[2] for s in seen} == {None, "query"} and all(s[3] == "Bearer secret" for s in seen)
+    with pytest.raises(RuntimeError, match="429"):
+        embed.rest_client("openai", "m")(["fail"])
+    with pytest.raises(ValueError):
+        embed.embed(rows, "nowhere")
+    assert (embed.dimensions("openai", "text-embedding-3-large"), embed.dimensions("openai"), embed.dimensions("hash")) == (3072, 1536, 256)
+    server.shutdown()
+
+
+def test_hash_embeddings_of_a_batch(spark):
+    texts = ["reset password reset", "", "a", None, "Zürich 12345 longword"]
+    every = embed.hash_embed_py(texts)
+    assert all(np.allclose(every[i], embed.hash_embed_py([t])[0]) for i, t in enumerate(texts))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in rows.select("i", embed.hash_vector(F.col("t")).alias("v")).collect():
+        assert np.allclose(every[r["i"]], r["v"], atol=1e-6)
+
+
+def test_search_many_in_blocks(spark, monkeypatch):
+    from graphlode.operators import vectors
+
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, i, rng.normal(size=8).astype(float).tolist()) for i in range(120)], "id int, row_idx int, embedding array<float>")
+    q = rows.where("id % 5 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    want = sorted(map(tuple, vectors.search_many(rows, q, 4).select("qid", "id", "rank").collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, vectors.search_many(rows, q, 4).select("qid", "id", "rank").collect())) == want
+
+
+def test_files_that_are_skipped(spark):
+    from graphlode.sources.files import wanted
+
+    paths = ["a/b.md", "a/B.MDX", "a/img/b.md", "node_modules/x.md", "CLAUDE.md", "a/b.txt", "img.md", "build/c/d.md"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").where(wanted(F.col("p"))).collect()
+    assert [r["p"] for r in got] == ["a/b.md", "a/B.MDX", "img.md"]
+
+
+def test_nodes_by_id(spark):
+    nodes = spark.createDataFrame([("a", "T"), ("b", "U")], "id string, type string")
+    assert graph.has_node(nodes, "a") and not graph.has_node(nodes, "c")
+    assert graph.node(nodes, "b") == {"id": "b", "type": "U"} and graph.node(nodes, "c") is None
