@@ -133,7 +133,7 @@ def formatted(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, turns, waiting, size = (), [], [], 0
-        for b in batches:
+        for b in (part for whole in batches for part in common.slices(whole)):
             for conv, role, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if key != (conv,):
                     if key:

@@ -13,7 +13,6 @@ the next document is the row itself; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -55,6 +54,19 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def columns(keys: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    return [np.array([k[i] for k in keys], np.int64) for i in range(3)]
+
+
+def sortable(z, k, h) -> np.ndarray:
+    """Keys of three integers as byte strings in the order of the keys; a last byte keeps zeros before it."""
+    out = np.ones((len(z), 25), np.uint8)
+    for i, x in enumerate((z, k, h)):
+        u = np.asarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, 8 * i : 8 * i + 8] = u.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(out).view("S25").ravel()
+
+
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """part, doc_id, text, last of each row, in ranges of (id, hash of text): each part sorted, and ended by the row that follows it (last = true)."""
     spark = docs.sparkSession
@@ -64,21 +76,25 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     some = keys.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, n // SAMPLE))) == 0).limit(4 * SAMPLE).collect()
     sample = sorted(set(map(tuple, some)))
     borders = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    shared = spark.sparkContext.broadcast(borders)
+    shared = spark.sparkContext.broadcast(sortable(*columns(borders)))
 
     @F.pandas_udf("int")
     def part_of(z: pd.Series, k: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(shared.value, x) for x in zip(z, k, h)], dtype="int32")
+        return pd.Series(np.searchsorted(shared.value, sortable(z, k, h), "right").astype(np.int32))
 
     firsts = sorted((r["part"], tuple(r["first"])) for r in keys.select(part_of("z", "k", "h").alias("part"), F.struct("z", "k", "h").alias("key")).groupBy("part").agg(F.min("key").alias("first")).collect())
     # the first key of each part that has rows closes the part before it, the first of all the last
     before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    closing = spark.sparkContext.broadcast(before)
+    order = sorted(before)
+    closing = spark.sparkContext.broadcast((sortable(*columns(order)), np.array([before[x] for x in order], np.int32)))
 
     @F.pandas_udf("array<int>")
     def to(z: pd.Series, k: pd.Series, h: pd.Series) -> pd.Series:
-        b, c = shared.value, closing.value
-        return pd.Series([[bisect.bisect_right(b, x), *([c[x]] if x in c else [])] for x in zip(z, k, h)])
+        key, (first, part) = sortable(z, k, h), closing.value
+        own = np.searchsorted(shared.value, key, "right").astype(np.int32)
+        at = np.minimum(np.searchsorted(first, key), max(len(first) - 1, 0))
+        closes = first[at] == key if len(first) else np.zeros(len(key), bool)
+        return pd.Series([[a, b] if c else [a] for a, b, c in zip(own.tolist(), part[at].tolist() if len(part) else own.tolist(), closes.tolist())])
 
     sent = keyed.select("*", F.posexplode(to("z", "k", "h")).alias("copy", "part"))
     last = (F.col("copy") == 1).alias("last")
@@ -107,11 +123,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         pa.array(likeness(sig[at], sig_edited[at])), pa.array(likeness(sig[at], sig[at + 1])),
                     ], names)
 
+        size = 0
         for b in batches:
-            held += zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))
-            if len(held) > STEP:
-                yield from done(held)
-                held = held[-1:]
+            for part in common.slices(b):  # rows are held up to a number of bytes, and one row more
+                held += zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))
+                size += part.nbytes
+                if len(held) > STEP or size > common.SLICE_BYTES:
+                    yield from done(held)
+                    held, size = held[-1:], 0
         yield from done(held)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -167,7 +167,7 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """text, lang: at most MAX_PER_LANG rows of each language among those whose crc32(id) mod 4 isn't 2, by smallest hash of the id."""
     rows = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang", "text")
     # a hash threshold from exact counts thins each language before the exact cut, so that no hot language is sorted whole
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.where("text IS NOT NULL").groupBy("lang").count().collect()}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     most = F.lit(1 << 30)
     for lang, n in counts.items():

@@ -35,7 +35,8 @@ def grams(words: list[str], sizes: range, bits: int) -> Iterator[tuple[int, int,
             h = cp.copy()
             for n in range(1, sizes.stop):
                 if n > 1:
-                    h[:-1] = h[:-1] * np.uint64(0x100000001B3) + np.concatenate([cp[n - 1 :], np.zeros(n - 2, np.uint64)])
+                    # the character at the n-gram's end, 0 behind the last one
+                    h[:-1] = h[:-1] * np.uint64(0x100000001B3) + np.concatenate([cp[n - 1 :], np.zeros(min(n - 2, len(cp) - 1), np.uint64)])
                 if n in sizes:
                     mixed = (h ^ np.uint64(n * 0x51ED27)) * np.uint64(0x9E3779B97F4A7C15)
                     yield a, b, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64), left >= n, offsets

@@ -92,6 +92,59 @@ def test_quality_learns(spark, sf):
     assert not any(rows[r["doc_id"]]["kept"] for r in labels if r["quality"] == 0)
 
 
+def test_quality_holds_out(spark):
+    """Fitted on labels outside a fold, judged on those inside."""
+    from graphlode.llm import common
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = common.fold(labels["doc_id"], 5)
+    crf = quality.fit(docs, labels.where(fold != 0))
+    kept = {r["doc_id"]: r for r in quality.judge(docs, crf).collect()}
+    held = [r for r in labels.where(fold == 0).collect() if r["quality"] is not None]
+    good = [kept[r["doc_id"]]["kept"] for r in held if r["quality"] == 1 and not kept[r["doc_id"]]["base_failed"]]
+    bad = [kept[r["doc_id"]]["kept"] for r in held if r["quality"] == 0]
+    print(len(good), np.mean(good), len(bad), np.mean(bad))
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.05
+
+
+def brute_toxicity(model, text):
+    """The score by its definition, word by word."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+    def value(word):
+        sums, n = toxicity.subword.word_sums([word], model.gram_logit[:, None], toxicity.SIZES, toxicity.BITS)
+        return sums[0, 0] / max(n[0], 1)
+
+    clean = toxicity.subword.normalise(pa.array(words, pa.string())).to_pylist()
+    runs = [clean[i : i + toxicity.WINDOW] for i in range(0, len(clean), toxicity.WINDOW)]
+    raw = max((np.mean([value(w) for w in r]) for r in runs), default=0.0)
+    return 1 / (1 + np.exp(-np.clip(raw + model.bias, -30, 30)))
+
+
+def test_toxicity_against_the_definition(docs, odd):
+    model = toxicity.train(*corpus(120, 1))
+    texts = [r["text"] for df in (docs.where("doc_id < 30"), odd.where("n_chars < 1000 OR n_chars IS NULL")) for r in df.collect()]
+    assert np.allclose(toxicity.scores(model, pa.array(texts, pa.string())), [brute_toxicity(model, t) for t in texts])
+
+
+def test_language_against_the_definition(docs):
+    """Families by the largest value, then votes of all pairs, with every n-gram of a text counted one by one."""
+    rows = [(r["text"], r["lang"]) for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    model = language.train(*zip(*rows))
+    texts = [t[:400] for t, _ in rows[:20]]
+    got, _ = language.predict(model, pa.array(texts))
+    for text, found in zip(texts, got):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if any(c.isalpha() for c in w)]
+        bucket, _ = language.subword.word_buckets(language.subword.normalise(pa.array(words)).to_pylist(), language.SIZES, language.BITS)
+        value = model.weights[bucket].sum(0) / len(bucket) + model.bias
+        k = int(np.argmax(value[: len(model.families)])) if len(model.families) > 1 else 0
+        votes = np.zeros(len(model.langs[k]))
+        for j, (f, a, b) in enumerate(model.pairs, len(model.families)):
+            if f == k:
+                votes[a if value[j] >= 0 else b] += 1
+        assert votes[model.langs[k].index(found)] == votes.max()
+
+
 def test_quality_empty(spark, none):
     crf = quality.train([], [])
     assert quality.judge(none, crf).count() == 0 and not crf.node.any()
