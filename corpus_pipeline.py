@@ -2,6 +2,11 @@
 
 Documents whose language isn't known go; lines that another document has (or has but for a word) are cut; of near duplicates one stays; sources
 are mixed to their target weights, so that a row may come twice; what is left is encoded, and decoded again.
+
+Defined results: texts that are null or without a letter go in the first stage; a null lang becomes the predicted one; a text that loses all its lines is
+empty and stays until near duplicates are looked for, where all empty texts are one group; null ids come last where rows are ordered; a null source is a source of its
+own; of repeated rows one stays after near_dedup; very long texts are taken whole; extra columns, whatever their names, stay in all stages but the last, which
+has doc_id and what the encoding gives; an empty table gives an empty table with the same columns in each stage.
 """
 
 from __future__ import annotations
