@@ -171,6 +171,10 @@ class Encoder:
             ends.append(len(flat))
         self.flat, self.ends, self.kept = flat, ends, kept
 
+    def forget(self) -> None:
+        """Drops what was kept: at the end of a task, so that idle workers are small."""
+        self.flat, self.ends, self.kept, self.recent, self.known = array("i"), array("q"), {}, set(), {}
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Ids of all texts (null: empty), the n + 1 offsets of the texts among them, and the decimal ids of each text with a comma after each."""
         texts = common.texts_of(texts)
@@ -251,7 +255,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         ids, offsets, _ = encoder(path).encode_all(b.column(1))
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["id", "ids"])
 
-    return common.map_batches(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), batch, "id bigint, ids array<int>")
+    return common.map_batches(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), batch, "id bigint, ids array<int>", lambda: encoder(path).forget())
 
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -279,7 +283,7 @@ def digests(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *more], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema)
+    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema, lambda: encoder(path).forget())
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

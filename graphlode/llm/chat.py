@@ -146,6 +146,8 @@ def formatted(rows: DataFrame, path: str) -> DataFrame:
                 turns.append((role, text))
         if key:
             yield emit([*waiting, (key[0], *render(turns))])
+        bpe.encoder(path).forget()
+        common.give_back()
 
     ready = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").cast("bigint").alias("turn"))
     return ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
