@@ -180,6 +180,21 @@ def brute_classes(rows):
     return sorted(sorted(x, key=lambda k: (k is None, k)) for x in out.values() if x)
 
 
+def brute_kept(rows):
+    """Ids that stay: the least of each core that has no text in a longer one of a core with a larger largest text. All pairs are compared."""
+    texts = [r["text"] or "" for r in rows]
+    off, sh = minhash.shingle_sets(pa.array(texts, pa.string()))
+    sets = {r["doc_id"]: set(sh[off[i] : off[i + 1]].tolist()) for i, r in enumerate(rows)}
+    cores = brute_classes(rows)
+    core = {d: i for i, c in enumerate(cores) for d in c}
+    top = [max(len(sets[d]) for d in c) for c in cores]
+    held = set()
+    for a, b in itertools.permutations(sets, 2):
+        if sets[a] and len(sets[a]) <= len(sets[b]) and core[a] != core[b] and top[core[a]] < top[core[b]] and len(sets[a] & sets[b]) >= neardup.THRESHOLD * len(sets[a]) - 1e-9:
+            held.add(core[a])
+    return sorted(min(c) for i, c in enumerate(cores) if i not in held)
+
+
 def found_classes(rows):
     out = {}
     for r in rows:
@@ -214,6 +229,21 @@ def test_near_dedup_documents(spark, sf, docs):
     assert sum(r["kept"] for r in got) == len({r["class_id"] for r in got})
 
 
+def test_contained_texts_go(spark):
+    """Texts cut down to a part of another, of any length: all pairs compared."""
+    rng = random.Random(11)
+    base = [[f"b{i}x{j}" for j in range(rng.choice([40, 90, 300, 900]))] for i in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(60):
+        w = rng.choice(base)
+        n = rng.randint(5, len(w))
+        at = rng.randint(0, len(w) - n)
+        own = [f"o{i}y{j}" for j in range(rng.choice([0, 0, n // 8, n // 4, n // 2]))]
+        rows.append((100 + i, " ".join(w[at : at + n] + own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == brute_kept(df.collect())
+
+
 def test_near_dedup_odd_rows(spark, odd, none):
     got = neardup.classes(odd).collect()
     cls = {r["doc_id"]: r["class_id"] for r in got}
