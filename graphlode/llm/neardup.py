@@ -342,7 +342,8 @@ def keep_one(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     names = docs.columns
     mine = docs.toDF(*(f"c{i}" for i in range(len(names))))
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    keep = classes(docs.select("doc_id", "text"), t).where("kept").select(F.col("doc_id").alias("id"), "th", "n_same")
+    keep = common.written(classes(docs.select("doc_id", "text"), t).where("kept").select(F.col("doc_id").alias("id"), "th", "n_same"), "keep")
+    keep = few(keep, MOST_IDS)  # if they are few no text is exchanged
     at = mine.join(keep, F.unhex(F.md5(F.coalesce(text, F.lit("")))).eqNullSafe(F.col("th")) & doc_id.cast("bigint").eqNullSafe(F.col("id")))
     once = at.where("n_same = 1").unionByName(at.where("n_same > 1").dropDuplicates(["th"]))
     return once.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
