@@ -8,6 +8,7 @@ import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -82,15 +83,18 @@ def hash_vector(text: Column, dim: int = 256) -> Column:
     return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(placed, lambda p: p["b"] == i), F.lit(0.0), lambda s, p: s + p["w"])))
 
 
+@lru_cache(maxsize=200_000)
+def places(token: str, dim: int) -> tuple[int, ...]:
+    """The buckets of a token, and of its first and last four letters (0 if it isn't longer). A worker keeps those of the tokens it saw last."""
+    return tuple(fnv1a_py(g) % dim for g in (token, token[:4], token[-4:])) if len(token) > 4 else (fnv1a_py(token) % dim, 0, 0)
+
+
 def hash_embed_py(texts: list[str], dim: int = 256) -> list[np.ndarray]:
     """Hash embeddings of a batch: each distinct token is hashed once, buckets of all texts are counted at once."""
     found = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
     place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-    at, weight = np.zeros((len(place), 3), np.int64), np.zeros((len(place), 3))
-    for w, i in place.items():
-        at[i, 0], weight[i, 0] = fnv1a_py(w) % dim, 1.0
-        if len(w) > 4:
-            at[i, 1:], weight[i, 1:] = (fnv1a_py(w[:4]) % dim, fnv1a_py(w[-4:]) % dim), 0.5
+    at = np.array([places(w, dim) for w in place], np.int64).reshape(-1, 3)
+    weight = np.where(np.fromiter(map(len, place), np.int64, len(place))[:, None] > 4, [1.0, 0.5, 0.5], [1.0, 0.0, 0.0])
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in found])
     ids = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, len(owner))
     bucket = (owner[:, None] * dim + at[ids]).ravel() if len(ids) else np.zeros(0, np.int64)
