@@ -87,6 +87,7 @@ class Encoder:
         self.kept: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q")
         self.recent: set[str] = set()
+        self.cache, self.pairs = CACHE, PAIRS
         tokens = [self.bytes.get(i, b"") for i in range(n)]
         self.as_bytes = pa.array(tokens, pa.large_binary())
         self.n_bytes = np.fromiter(map(len, tokens), np.int64, n)
@@ -122,7 +123,7 @@ class Encoder:
                 elif (p := last[start]) >= 0:
                     ok = known.get(p << 20 | t)
                     if ok is None:
-                        if len(known) > PAIRS:
+                        if len(known) > self.pairs:
                             known.clear()
                         ok = known[p << 20 | t] = self._apart(p, t, float("inf"))
                     if ok:
@@ -152,7 +153,7 @@ class Encoder:
         cut = [[p] if p.isascii() and p.lstrip(" ").isalpha() or p in added else find(p) for p in parts]
         every = list(chain.from_iterable(cut))
         now = set(every)
-        if len(self.kept) > CACHE:
+        if len(self.kept) > self.cache:
             self._keep({w for w in now | self.recent if w in self.kept and len(w) <= LONG})
         for w in now.difference(self.kept):
             # an added token's string can't be a pre-token: the split takes them all
@@ -213,7 +214,7 @@ class Encoder:
         digits = joined(self.as_decimal, self.n_decimal, ids, edges).take(of_text)
         _, ends_, data = digits.buffers()
         decimal = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.frombuffer(ends_, np.int64)[digits.offset :][text_ends].copy()), data])
-        if len(self.kept) > CACHE:
+        if len(self.kept) > self.cache:
             self._keep({w for w in self.recent if len(w) <= LONG})
         return taken.flatten().to_numpy(), offsets, decimal
 
@@ -268,12 +269,14 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids
     return common.map_batches(df.select(F.col(id_col).cast("bigint"), F.col(ids_col)), batch, "id bigint, text string")
 
 
-def digests(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Token count and digests of ids and of the decoded text, in one pass; the ids themselves only if asked for."""
+def digests(df: DataFrame, path: str, with_ids: bool = False, small: bool = False) -> DataFrame:
+    """Token count and digests of ids and of the decoded text, in one pass; the ids themselves only if asked for. small: for executors with little memory
+    left, a sixth of the caches and a third of the texts at once."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
+        enc.cache, enc.pairs = (CACHE // 6, PAIRS // 6) if small else (CACHE, PAIRS)
         ids, offsets, decimal = enc.encode_all(b.column(1))
         decoded = enc.decode_all(ids, offsets)
         sha = hashlib.sha256
@@ -283,7 +286,7 @@ def digests(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *more], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema, lambda: encoder(path).forget())
+    return common.map_batches(df.select(F.col("doc_id").cast("bigint"), "text"), batch, schema, lambda: encoder(path).forget(), common.SLICE_BYTES // 3 if small else common.SLICE_BYTES)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,12 +102,12 @@ def give_back() -> None:
         pass
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, after: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow of a function from one batch to one batch; after: called when a task ends."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, after: Callable[[], None] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow of a function from one batch to one batch, of at most so many bytes; after: called when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most):
                 yield fn(part)
                 pa.default_memory_pool().release_unused()
         if after:
