@@ -8,8 +8,9 @@ inside many long ones doesn't chain these together. A core never joins one whose
 Mutual links: texts are partitioned by the size of their shingle set; in each partition the containment threshold becomes the least Jaccard
 similarity that sizes in it allow, and bands and rows are tuned for that. A text also queries the partition below where a partner may lie.
 Links of any sizes: the Jaccard threshold of a text against a partition of much larger ones falls until bands have one row, that is, single
-shingles. Each text then asks with its PROBES least shingles which texts have them. These are all of a small set, whose links are exact;
-of a larger set at least PROBES_HIT are in a container with a chance of 0.98. A probe that only the text's own core has is a miss, and so many of the
+shingles. Each text then asks which texts have its probes. These are all shingles of a set of up to WHOLE, whose links are exact, and the
+PROBES least of a larger set, of which at least PROBES_HIT are in a container with a chance of 0.98. A text that hasn't so many probes in other
+cores asks no further, so that texts that share a boilerplate line and are not contained cost no pairs. A probe that only the text's own core has is a miss, and so many of the
 other ones, rarest first, are followed that a container of PROBES_HIT has one of them. Lists of a shingle name cores, not texts: a group of n near
 copies is one entry. Cores that have enough of all probes are met text by text; the text with the most probes is checked first, and if it
 is linked the link stands for the core.
@@ -45,10 +46,10 @@ RATIO = 4
 #: Bits of the bitmap that thins candidates of one pass, and least and most bits of those that thin shingles (16 for each, if that is between).
 BITS = 1 << 25
 LEAST_BITS, MOST_BITS = 25, 28
-#: Shingles that a text asks with, and how many of them a container of a larger set has at least: P(binomial(32, 0.75) >= 19) = 0.985.
-PROBES, PROBES_HIT = 32, 19
-#: Texts with their probes (300 bytes at most) and ids (of at most 40 bytes) that are broadcast: 30 MB and 10 MB.
-MOST_ASKS, MOST_IDS = 100_000, 250_000
+#: Sets of up to WHOLE shingles ask with all of them, larger ones with PROBES, of which a container has at least PROBES_HIT: P(binomial(32, 0.75) >= 19) = 0.985.
+WHOLE, PROBES, PROBES_HIT = 96, 32, 19
+#: Probes (of at most 16 bytes with their text) that are broadcast at once, and ids (of at most 40 bytes): 30 MB and 10 MB.
+MOST_ASKED, MOST_IDS = 2_000_000, 250_000
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -96,6 +97,11 @@ def band_keys(sig: np.ndarray, sizes: np.ndarray, t: float = THRESHOLD) -> list[
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
+def n_probes(size: np.ndarray) -> np.ndarray:
+    """How many of its least shingles a set of that size asks with."""
+    return np.where(size <= WHOLE, size, PROBES)
+
+
 def signed(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, th (digest of the text), size of the shingle set, bucket keys, probes; of equal texts in a batch only the first has keys."""
 
@@ -111,7 +117,7 @@ def signed(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
         size[at] = sizes
         for i, k, o in zip(at, keys, off):
             lists[i] = k
-            probes[i] = sh[o : o + min(PROBES, size[i])].view(np.int64)  # sorted hashes: a random sample
+            probes[i] = sh[o : o + n_probes(size[i])].view(np.int64)  # sorted hashes: a random sample
         return pa.RecordBatch.from_arrays([b.column(0), th, pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "th", "size", "keys", "probes"])
 
     text = F.coalesce("text", F.lit(""))
@@ -237,7 +243,7 @@ def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
         at = np.sort(np.unique(b.column(0).to_numpy(), return_index=True)[1])
         off, sh = minhash.shingle_sets(b.column(1).take(pa.array(at)))
         size = np.diff(off)
-        keep = np.arange(len(sh)) - np.repeat(off[:-1], size) >= PROBES
+        keep = np.arange(len(sh)) - np.repeat(off[:-1], size) >= np.repeat(n_probes(size), size)
         sh, owner = sh[keep], np.repeat(at, size)[keep]
         for raw, right in zip(shared.value, (0, shift)):
             v = (sh >> np.uint64(right)) & np.uint64(bits - 1)
@@ -249,12 +255,18 @@ def holders(docs: DataFrame, probes: DataFrame) -> DataFrame:
     return common.map_batches(docs.select(F.xxhash64(F.unhex(F.md5(text))).alias("u"), text.alias("text")), batch, "s bigint, u bigint")
 
 
+def in_parts(asks: DataFrame) -> list[DataFrame]:
+    """asks in parts whose probes may be broadcast: a probe that very many texts have is met part by part, not in one task."""
+    n = -(-(asks.select(F.sum(F.size("s"))).first()[0] or 0) // MOST_ASKED)
+    return [F.broadcast(asks.where(F.pmod(F.xxhash64("a"), F.lit(n)) == i) if n > 1 else asks) for i in range(max(1, n))]
+
+
 def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """a, b, ra, rb, mutual: links of a text a (core ra) and one b (core rb) that isn't smaller, of different cores (node, root).
 
-    Texts and cores go by 64-bit hashes of their digests until pairs are checked; texts of one hash would be checked one by one."""
+    Texts and cores go by xxhash64 of their digests; texts of one hash would be checked one by one."""
     nodes = reps.select("th", "rep", "size", "probes").join(cores.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    nodes = common.written(nodes.select(F.xxhash64("th").alias("u"), F.xxhash64("root").alias("c"), "th", "root", "rep", "size", "probes"), "nodes")
+    nodes = common.written(nodes.select(F.xxhash64("th").alias("u"), F.xxhash64("root").alias("c"), "th", "rep", "size", "probes"), "nodes")
     mine = nodes.select(F.explode("probes").alias("s"), "u", "c", "size")
     other = holders(docs, mine.select("s")).join(nodes.select("u", "c", "size"), "u")
     other = common.written(other.select("s", "u", "c", "size"), "holders")
@@ -262,44 +274,55 @@ def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THR
     # shingles that are a probe and that texts of two cores or more have; equal texts of different batches count as often as they come
     often = every.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df"), F.max("own").alias("asked")).where("low <> high AND asked").select("s", "df")
     known = mine.join(often, "s").groupBy("u", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("s"))
-    need = F.when(F.col("size") <= PROBES, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
+    need = F.when(F.col("size") <= WHOLE, F.ceil(F.col("size") * t - 1e-9)).otherwise(PROBES_HIT).cast("int")
     asks = known.withColumn("need", need).where(F.size("s") >= F.col("need"))
     asks = common.written(asks.select(F.col("u").alias("a"), F.col("c").alias("ra"), F.col("size").alias("na"), "need", "s"), "asks")
-    # few texts have probes enough in other cores: they are broadcast if they are few, and only their probes' lists are followed
-    small = F.broadcast if asks.count() <= MOST_ASKS else (lambda x: x)
-    followed = common.written(every.join(small(asks.select(F.explode("s").alias("s")).distinct()), "s", "left_semi").select("s", "u", "c", "size"), "followed")
-    follow = asks.select("a", "ra", "na", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s"))
-    met = followed.join(small(follow), "s").where((F.col("ra") != F.col("c")) & (F.col("size") >= F.col("na"))).select("a", F.col("c").alias("rb")).distinct()
+    # few texts have probes enough in other cores: these are broadcast, and only their probes' lists are followed
+    parts = in_parts(asks)
+    asked = few(asks.select(F.explode("s").alias("s")).distinct(), MOST_ASKED // 2)
+    followed = common.written(every.join(asked, "s", "left_semi").select("s", "u", "c", "size"), "followed")
+
+    def united(of) -> DataFrame:
+        out = of(parts[0])
+        for part in parts[1:]:
+            out = out.unionByName(of(part))
+        return out
+
+    def meets(part: DataFrame) -> DataFrame:
+        follow = F.broadcast(part.select("a", "ra", "na", F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1)).alias("s")))
+        return followed.join(follow, "s").where((F.col("ra") != F.col("c")) & (F.col("size") >= F.col("na"))).select("a", F.col("c").alias("rb")).distinct()
+
+    met = common.written(united(meets), "met")
     # how many probes each core that was met has
     has = followed.groupBy(F.col("c").alias("rb")).agg(F.collect_set("s").alias("sb"))
-    enough = met.join(has, "rb").join(small(asks.select("a", "need", "s")), "a").where(F.size(F.array_intersect("s", "sb")) >= F.col("need")).select("a", "rb")
-    enough = common.written(enough, "enough")
+    hits = F.size(F.array_intersect("s", "sb"))
+    enough = common.written(united(lambda part: met.join(has, "rb").join(part.select("a", "need", "s"), "a").where(hits >= F.col("need")).select("a", "rb")), "enough")
     reached = few(enough.select(F.col("rb").alias("c")).distinct(), MOST_IDS)
-    own = followed.join(reached, "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_set("s").alias("sb"))
-    both = enough.join(own, "rb").join(small(asks.select("a", "na", "need", "s")), "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
-    both = both.withColumn("hits", F.size(F.array_intersect("s", "sb"))).where("hits >= need").select("a", "na", "b", "rb", "nb", "hits")
-    both = common.written(both, "by-text")
-    tiny = F.col("na") <= PROBES  # their probes are all of their shingles
-    best = both.groupBy("a", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "na", "rb", "m.*")
-    exact = best.where(tiny).select("a", "b", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
-    large = both.where(~tiny)
+    own = common.written(followed.join(reached, "c", "left_semi").groupBy(F.col("u").alias("b"), F.col("c").alias("rb"), F.col("size").alias("nb")).agg(F.collect_set("s").alias("sb")), "own")
+
+    def counted(part: DataFrame) -> DataFrame:
+        both = enough.join(own, "rb").join(part, "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
+        return both.withColumn("hits", hits).where("hits >= need").select("a", "ra", "na", "b", "rb", "nb", "hits")
+
+    both = common.written(united(counted), "by-text")
+    whole = F.col("na") <= WHOLE  # their probes are all of their shingles
+    best = both.groupBy("a", "ra", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "ra", "na", "rb", "m.*")
+    exact = best.where(whole).select("a", "b", "ra", "rb", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    large = both.where(~whole)
     ends = large.select(F.col("a").alias("u")).unionByName(large.select(F.col("b").alias("u"))).distinct()
     wanted = common.written(nodes.select("th", "rep", "u").join(ends, "u", "left_semi").select("th", "rep"), "wanted")
-    sets = common.written(shingle_table(docs, wanted).select(F.xxhash64("th").alias("u"), "shingles"), "sets")
+    sets = common.written(shingle_table(docs, wanted).select(F.xxhash64("th").alias("u"), "shingles").dropDuplicates(["u"]), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         got = with_sets(pairs, sets, "u").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
-        return got.select("a", "b", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual")).distinct()
+        return got.select("a", "b", "ra", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
 
-    first = common.written(checked(best.where(~tiny)), "first")
+    first = common.written(checked(best.where(~whole)), "first")
     open_ = first.where(~F.col("linked")).select("a", "rb", F.col("b").alias("tried"))
     rest = checked(large.join(open_, ["a", "rb"]).where(F.col("b") != F.col("tried")).drop("tried"))
-    found = exact.unionByName(first.where("linked").select("a", "b", "mutual")).unionByName(rest.where("linked").select("a", "b", "mutual"))
-    ids = nodes.select("u", "th", "root")
-    for x in "ab":
-        found = found.join(ids.select(F.col("u").alias(x), F.col("th").alias(f"th_{x}"), F.col("root").alias(f"r{x}")), x)
-    found = common.written(found.select(F.col("th_a").alias("a"), F.col("th_b").alias("b"), "ra", "rb", "mutual"), "contained")
-    common.dropped(nodes, other, asks, followed, enough, both, wanted, sets, first)
+    found = exact.unionByName(first.unionByName(rest).where("linked").drop("linked"))
+    found = common.written(found, "contained")
+    common.dropped(nodes, other, asks, followed, met, enough, own, both, wanted, sets, first)
     return found
 
 
@@ -312,20 +335,22 @@ def classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     links = links_of(docs, reps, t)
     cores = components(links)
     found = contained(docs, reps, cores, t)
-    inside = found.where(~F.col("mutual")).select("a", "b")
-    # cores that a mutual link joins become one
-    joined = components(found.where("mutual").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    joined = common.written(joined.select(F.col("node").alias("core"), F.col("root").alias("to")), "joined")
-    every = links.unionByName(found.select("a", "b"))
-    ends = every.select(F.col("a").alias("th")).unionByName(every.select(F.col("b").alias("th"))).groupBy("th").agg(F.count("*").alias("n_links"))
+    ends = links.select(F.xxhash64("a").alias("u")).unionByName(links.select(F.xxhash64("b").alias("u")))
+    ends = ends.unionByName(found.select(F.col("a").alias("u"))).unionByName(found.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
     rows = sig.groupBy("th", "doc_id").agg(F.count("*").alias("n_same"))
     by_text = sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_text"), F.max("size").alias("size"))
-    roots = by_text.join(cores.withColumnRenamed("node", "th"), "th", "left").join(ends, "th", "left").withColumn("core", F.coalesce("root", "th")).join(joined, "core", "left")
-    roots = common.written(roots.select("th", "rep", "n_text", "size", F.coalesce("to", "core").alias("core"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "roots")
+    roots = by_text.join(cores.withColumnRenamed("node", "th"), "th", "left").withColumn("u", F.xxhash64("th")).join(ends, "u", "left").withColumn("core", F.coalesce("root", "th"))
+    roots = common.written(roots.select("th", "rep", "n_text", "size", "core", F.xxhash64("core").alias("c"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "texts")
+    # cores that a mutual link joins become one
+    joined = components(found.where("mutual").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    named = roots.select(F.col("c").alias("root"), F.col("core").alias("to")).distinct()
+    joined = common.written(joined.join(named, "root").select(F.col("node").alias("c"), "to"), "joined")
+    roots = roots.join(few(joined, MOST_IDS), "c", "left").withColumn("core", F.coalesce("to", "core")).drop("to")
     tops = roots.groupBy("core").agg(F.max("size").alias("top"))
-    at = roots.select("th", "core").join(tops, "core")
-    sides = [at.select(F.col("th").alias(x), F.struct("top", "core").alias(f"{x}_core")) for x in "ab"]
-    into = inside.join(sides[0], "a").join(sides[1], "b").where("a_core.top < b_core.top").groupBy(F.col("a_core.core").alias("a")).agg(F.max("b_core")["core"].alias("b"))
+    at = roots.select("c", "core").distinct().join(tops, "core")
+    sides = [at.select(F.col("c").alias(f"r{x}"), F.struct("top", "core").alias(f"{x}_core")) for x in "ab"]
+    inside = found.where(~F.col("mutual")).select("ra", "rb").distinct()
+    into = inside.join(sides[0], "ra").join(sides[1], "rb").where("a_core.top < b_core.top").groupBy(F.col("a_core.core").alias("a")).agg(F.max("b_core")["core"].alias("b"))
     into = common.written(into, "into")
     # each core joins at most one with a larger text: the components are trees, and each has one core that joins none
     roots = roots.join(components(into).withColumnRenamed("node", "core"), "core", "left").join(into.select(F.col("a").alias("core"), F.lit(True).alias("held")), "core", "left")

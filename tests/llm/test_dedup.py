@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphlode.llm import fingerprint, linededup, minhash, mixing, neardup
+from graphlode.llm import common, fingerprint, linededup, minhash, mixing, neardup
 
 
 def words(text):
@@ -281,6 +281,26 @@ def test_near_dedup_three_shingles_in_four(spark):
     assert found_classes(got) == [[2 * i, 2 * i + 1] for i in range(40)]
 
 
+def test_shared_boilerplate_costs_no_pairs(spark, monkeypatch):
+    """Texts with 48 of 78 shingles in each of many longer ones aren't contained: none of their pairs is listed. One with 60 of 78 is linked to all."""
+    license = [f"l{i}" for i in range(70)]
+    rows = [(i, " ".join([f"s{i}x{j}" for j in range(30)] + license[:50])) for i in range(30)]
+    rows += [(100 + i, " ".join([f"c{i}x{j}" for j in range(200)] + license)) for i in range(30)]
+    rows += [(200, " ".join([f"o{j}" for j in range(18)] + license[:62]))]
+    listed, write = [], common.written
+
+    def written(df, tag):
+        out = write(df, tag)
+        if tag == "by-text":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    got = {r["doc_id"]: r for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert listed == [30] and got[200]["n_links"] == 30
+    assert all(got[i]["n_links"] == 0 and got[i]["class_size"] == 1 for i in range(30)) and sum(r["kept"] for r in got.values()) == 60
+
+
 def test_banding_covers_the_sizes_that_query():
     for p in range(8):
         bands, rows = neardup.banding(p)
