@@ -14,7 +14,8 @@ cores asks no further, so that texts that share a boilerplate line and are not c
 other ones, rarest first, are followed that a container of PROBES_HIT has one of them. Lists of a shingle name cores, not texts: a group of n near
 copies is one entry. Cores that have enough of all probes are met text by text; the text with the most probes is checked first, and if it
 is linked the link stands for the core.
-Candidates are checked exactly on their sets of shingles (44-bit hashes).
+Candidates are checked exactly on their sets of shingles (44-bit hashes). Those of larger sets are checked in groups by the rarest probe they share, to which each
+set is sent once, so that texts that share a passage cost a look at their pairs, not an exchange of two sets for each.
 
 Equal texts are one class from the start and take part once. In a band's bucket every text is compared with the bucket's
 first one, and those that aren't linked to it with the first of these: the work in a bucket of n texts grows as n. Pairs of a mixed bucket that
@@ -33,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlode.llm import common, minhash
@@ -50,6 +51,8 @@ LEAST_BITS, MOST_BITS = 25, 28
 WHOLE, PROBES, PROBES_HIT = 96, 32, 19
 #: Probes (of at most 16 bytes with their text) that are broadcast at once, and ids (of at most 40 bytes): 30 MB and 10 MB.
 MOST_ASKED, MOST_IDS = 2_000_000, 250_000
+#: Shingles whose sets lie in one task's memory at once when pairs are checked in groups (8 bytes each, a few times that while they are numbered).
+MOST_SHINGLES = 1 << 20
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -196,6 +199,44 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.select("a", "b", F.when(enough, F.size(F.array_intersect("sa", "sb")) >= most * t - 1e-9).otherwise(False).alias("linked")).distinct()
 
 
+def shared_counts(group: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """a, b, hits: how many shingles each of a group's pairs shares; texts (u, shingles) has both sides of all of them."""
+    u = texts["u"].to_numpy()
+    order = np.argsort(u)
+    lists = common.plain(texts["shingles"])
+    off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    n, ids = np.unique(flat[off[0] : off[-1]], return_inverse=True)
+    off, mark = off - off[0], np.zeros(len(n), bool)
+    by_b = pairs.sort_by("b")
+    a, b = (order[np.searchsorted(u, by_b[c].to_numpy(), sorter=order)] for c in "ab")
+    hits, ends = np.zeros(len(a), np.int32), np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        whole = ids[off[b[lo]] : off[b[lo] + 1]]
+        mark[whole] = True
+        for i in range(lo, hi):  # a is the smaller one
+            hits[i] = np.count_nonzero(mark[ids[off[a[i]] : off[a[i] + 1]]])
+        mark[whole] = False
+    return pa.table({"a": by_b["a"], "b": by_b["b"], "hits": pa.array(hits)})
+
+
+def counted_in_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, hits: how many shingles the pairs (a, b, na, nb, key) share, on whole sets (u, shingles).
+
+    Pairs of one key meet in one group, to which each of their sets is sent once: n texts that share a passage are n sets there, though they have
+    pairs in number as n squared. A key whose sets don't fit in memory is parted in blocks; small keys share a group."""
+    spark = pairs.sparkSession
+    sides = [F.struct(F.col(x).alias("u"), F.col(f"n{x}").alias("size")) for x in "ab"]
+    sizes = pairs.select("key", F.explode(F.array(*sides)).alias("m")).select("key", "m.*").distinct().groupBy("key").agg(F.sum("size").alias("size"))
+    sizes = common.written(sizes.withColumn("m", F.when(F.col("size") > MOST_SHINGLES, F.ceil(2 * F.col("size") / MOST_SHINGLES)).otherwise(1)), "sizes")
+    room = sizes.select(F.sum(F.when(F.col("m") > 1, F.col("m") * F.col("m")).otherwise(2 * F.col("size") / MOST_SHINGLES))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(room))
+    placed = pairs.join(few(sizes.where("m > 1").select("key", "m"), MOST_IDS), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    block = F.xxhash64("key", *(F.pmod(F.xxhash64(x), "m") for x in "ab"))
+    placed = common.written(placed.select(F.pmod(block, F.lit(groups)).alias("cell"), "a", "b").distinct(), "cells")
+    texts = common.written(placed.select("cell", F.explode(F.array("a", "b")).alias("u")).distinct(), "sent").join(sets, "u").select(F.col("cell").alias("at"), "u", "shingles")
+    return placed.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(shared_counts, "a bigint, b bigint, hits int")
+
+
 def few(rows: DataFrame, most: int) -> DataFrame:
     """rows, to be broadcast if they are at most so many; the count stops there. rows should be cheap to count."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -302,27 +343,25 @@ def contained(docs: DataFrame, reps: DataFrame, cores: DataFrame, t: float = THR
 
     def counted(part: DataFrame) -> DataFrame:
         both = enough.join(own, "rb").join(part, "a").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
-        return both.withColumn("hits", hits).where("hits >= need").select("a", "ra", "na", "b", "rb", "nb", "hits")
+        both = both.withColumn("both", F.array_intersect("s", "sb")).withColumn("hits", F.size("both")).where("hits >= need")
+        return both.select("a", "ra", "na", "b", "rb", "nb", "hits", F.col("both")[0].alias("key"))  # the rarest probe that both have
 
     both = common.written(united(counted), "by-text")
     whole = F.col("na") <= WHOLE  # their probes are all of their shingles
-    best = both.groupBy("a", "ra", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "ra", "na", "rb", "m.*")
-    exact = best.where(whole).select("a", "b", "ra", "rb", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
+    best = both.where(whole).groupBy("a", "ra", "na", "rb").agg(F.max(F.struct("hits", "nb", "b")).alias("m")).select("a", "ra", "na", "rb", "m.*")
+    exact = best.select("a", "b", "ra", "rb", (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
     large = both.where(~whole)
     ends = large.select(F.col("a").alias("u")).unionByName(large.select(F.col("b").alias("u"))).distinct()
     wanted = common.written(nodes.select("th", "rep", "u").join(ends, "u", "left_semi").select("th", "rep"), "wanted")
     sets = common.written(shingle_table(docs, wanted).select(F.xxhash64("th").alias("u"), "shingles").dropDuplicates(["u"]), "sets")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        got = with_sets(pairs, sets, "u").withColumn("hits", F.size(F.array_intersect("sa", "sb")))
-        return got.select("a", "b", "ra", "rb", (F.col("hits") >= F.col("na") * t - 1e-9).alias("linked"), (F.col("hits") >= F.col("nb") * t - 1e-9).alias("mutual"))
-
-    first = common.written(checked(best.where(~whole)), "first")
-    open_ = first.where(~F.col("linked")).select("a", "rb", F.col("b").alias("tried"))
-    rest = checked(large.join(open_, ["a", "rb"]).where(F.col("b") != F.col("tried")).drop("tried"))
-    found = exact.unionByName(first.unionByName(rest).where("linked").drop("linked"))
+    shared = common.written(counted_in_groups(large.select("key", "a", "b", "na", "nb"), sets), "shared")
+    first = F.row_number().over(Window.partitionBy("a", "rb").orderBy(F.desc("hits"), F.desc("nb"), F.desc("b"))) == 1
+    linked = large.withColumn("first", first).join(shared.withColumnRenamed("hits", "n"), ["a", "b"]).where(F.col("n") >= F.col("na") * t - 1e-9)
+    # if a core's text with the most probes is linked, the link stands for the core
+    linked = linked.withColumn("stands", F.max("first").over(Window.partitionBy("a", "rb"))).where("first OR NOT stands")
+    found = exact.unionByName(linked.select("a", "b", "ra", "rb", (F.col("n") >= F.col("nb") * t - 1e-9).alias("mutual")))
     found = common.written(found, "contained")
-    common.dropped(nodes, other, asks, followed, met, enough, own, both, wanted, sets, first)
+    common.dropped(nodes, other, asks, followed, met, enough, own, both, wanted, sets, shared)
     return found
 
 

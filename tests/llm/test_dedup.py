@@ -301,6 +301,38 @@ def test_shared_boilerplate_costs_no_pairs(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["class_size"] == 1 for i in range(30)) and sum(r["kept"] for r in got.values()) == 60
 
 
+def test_pairs_of_a_passage_share_its_sets(spark, monkeypatch):
+    """Texts with two thirds of their words in one passage are candidates of each other, pair by pair; their sets are sent once to a group."""
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([f"s{i}x{j}" for j in range(75 + i)] + passage)) for i in range(40)]
+    rows += [(100 + i, " ".join([f"c{i}x{j}" for j in range(20)] + passage[i : i + 120])) for i in range(10)]
+    seen, write = {}, common.written
+
+    def written(df, tag):
+        out = write(df, tag)
+        if tag in ("cells", "sent"):
+            seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == brute_kept(df.collect()) == [*range(40)]
+    assert seen["cells"] > 400 and seen["sent"] <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_shared_counts_in_blocks(spark, monkeypatch, most):
+    """A key whose sets don't fit is parted in blocks: each pair is counted once, whatever their number."""
+    monkeypatch.setattr(neardup, "MOST_SHINGLES", most)
+    rng = random.Random(5)
+    sets = {u * 2**58 - 7: sorted(rng.sample(range(300), rng.randint(5, 90))) for u in range(-30, 30)}
+    pairs = [(key, a, b, len(sets[a]), len(sets[b])) for a, b in itertools.combinations(sorted(sets, key=lambda u: len(sets[u])), 2) for key in [rng.choice([3, 3, 3, 8])]]
+    got = neardup.counted_in_groups(spark.createDataFrame(pairs, "key bigint, a bigint, b bigint, na int, nb int"), spark.createDataFrame([*sets.items()], "u bigint, shingles array<bigint>")).collect()
+    assert sorted((r["a"], r["b"], r["hits"]) for r in got) == sorted((a, b, len({*sets[a]} & {*sets[b]})) for _, a, b, _, _ in pairs)
+    none = spark.createDataFrame([], "key bigint, a bigint, b bigint, na int, nb int")
+    assert neardup.counted_in_groups(none, spark.createDataFrame([], "u bigint, shingles array<bigint>")).count() == 0
+
+
 def test_banding_covers_the_sizes_that_query():
     for p in range(8):
         bands, rows = neardup.banding(p)
