@@ -52,7 +52,7 @@ WHOLE, PROBES, PROBES_HIT = 96, 32, 19
 #: Probes (of at most 16 bytes with their text) that are broadcast at once, and ids (of at most 40 bytes): 30 MB and 10 MB.
 MOST_ASKED, MOST_IDS = 2_000_000, 250_000
 #: Shingles whose sets lie in one task's memory at once when pairs are checked in groups (8 bytes each, a few times that while they are numbered).
-MOST_SHINGLES = 1 << 20
+MOST_SHINGLES = 1 << 19
 
 
 def jaccard_floor(low: int, high: int, t: float) -> float:
@@ -205,8 +205,9 @@ def shared_counts(group: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
     order = np.argsort(u)
     lists = common.plain(texts["shingles"])
     off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    n, ids = np.unique(flat[off[0] : off[-1]], return_inverse=True)
-    off, mark = off - off[0], np.zeros(len(n), bool)
+    flat = flat[off[0] : off[-1]]
+    known = np.unique(flat)
+    ids, off, mark = np.searchsorted(known, flat).astype(np.int32), off - off[0], np.zeros(len(known), bool)
     by_b = pairs.sort_by("b")
     a, b = (order[np.searchsorted(u, by_b[c].to_numpy(), sorter=order)] for c in "ab")
     hits, ends = np.zeros(len(a), np.int32), np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
@@ -216,6 +217,7 @@ def shared_counts(group: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
         for i in range(lo, hi):  # a is the smaller one
             hits[i] = np.count_nonzero(mark[ids[off[a[i]] : off[a[i] + 1]]])
         mark[whole] = False
+    common.give_back()
     return pa.table({"a": by_b["a"], "b": by_b["b"], "hits": pa.array(hits)})
 
 
@@ -228,7 +230,7 @@ def counted_in_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sides = [F.struct(F.col(x).alias("u"), F.col(f"n{x}").alias("size")) for x in "ab"]
     sizes = pairs.select("key", F.explode(F.array(*sides)).alias("m")).select("key", "m.*").distinct().groupBy("key").agg(F.sum("size").alias("size"))
     sizes = common.written(sizes.withColumn("m", F.when(F.col("size") > MOST_SHINGLES, F.ceil(2 * F.col("size") / MOST_SHINGLES)).otherwise(1)), "sizes")
-    room = sizes.select(F.sum(F.when(F.col("m") > 1, F.col("m") * F.col("m")).otherwise(2 * F.col("size") / MOST_SHINGLES))).first()[0] or 0
+    room = sizes.select(F.sum(F.when(F.col("m") > 1, F.col("m") * F.col("m")).otherwise(4 * F.col("size") / MOST_SHINGLES))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(room))
     placed = pairs.join(few(sizes.where("m > 1").select("key", "m"), MOST_IDS), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     block = F.xxhash64("key", *(F.pmod(F.xxhash64(x), "m") for x in "ab"))
