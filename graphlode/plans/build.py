@@ -104,7 +104,7 @@ class Base:
         out, q = None, self.query_vectors(queries.select("qid", "query"))
         for lvl in levels:
             it = self.items(lvl)
-            bm = bm25.top(bm25.scores(queries, bm25.postings(it), bm25.corpus_stats(it)), cand_n, digits=None)
+            bm = bm25.search(queries, bm25.postings(it), bm25.corpus_stats(it), cand_n, digits=None)
             c = ranking.candidates(vectors.search_many(self.vectors(lvl), q, cand_n, digits=None), bm, lvl, cand_n)
             out = c if out is None else out.unionByName(c)
         return stored(out, "candidates")

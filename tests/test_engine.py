@@ -266,3 +266,77 @@ def test_nodes_by_id(spark):
     nodes = spark.createDataFrame([("a", "T"), ("b", "U")], "id string, type string")
     assert graph.has_node(nodes, "a") and not graph.has_node(nodes, "c")
     assert graph.node(nodes, "b") == {"id": "b", "type": "U"} and graph.node(nodes, "c") is None
+
+
+def test_searches_in_blocks_against_all_pairs(spark):
+    """Ties, repeated rows, nulls, other lengths and NaN: ranks are those of all pairs, scores those of a sum in order."""
+    from pyspark.sql import types as T
+
+    from graphlode.operators import vectors
+
+    rng = np.random.default_rng(2)
+    vec = [rng.normal(size=7).round(1).tolist() for _ in range(300)]
+    vec[5] = vec[6] = vec[40] = vec[41] = vec[7]
+    vec[11], vec[12], vec[13], vec[14] = None, [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [float("nan")] + [0.0] * 6
+    kind = T.StructType([T.StructField("id", T.StringType()), T.StructField("row_idx", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    rows = spark.createDataFrame([(f"i{i}", i, v) for i, v in enumerate(vec)], kind)
+    q = rows.where("row_idx < 60 OR row_idx = 299").select(F.col("row_idx").alias("qid"), F.col("embedding").alias("qvec"))
+
+    def dot(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        return s
+
+    for k in (3, 299):
+        want = {}
+        for i in [*range(60), 299]:
+            all_ = [(dot(v, vec[i]), j) for j, v in enumerate(vec)]
+            want[i] = sorted(all_, key=lambda x: (x[0] is None, x[0] == x[0], -x[0] if x[0] is not None and x[0] == x[0] else 0, x[1]))[:k]
+        got = {}
+        for r in vectors.search_many(rows, q, k, digits=None).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["score"], r["row_idx"]))
+        assert {i: [j for _, _, j in sorted(g)] for i, g in got.items()} == {i: [j for _, j in w] for i, w in want.items()}
+        assert {i: repr([s for _, s, _ in sorted(g)]) for i, g in got.items()} == {i: repr([s for s, _ in w]) for i, w in want.items()}
+
+
+def test_bm25_in_blocks(spark):
+    """Scores, ties by first term and row, and items that only some blocks have, against a plain count of all pairs."""
+    from graphlode.operators import bm25
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, size=int(rng.integers(1, 12))) if x < 60) for _ in range(400)] + ["w1 w2", "w2 w1", None, ""]
+    items = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "id string, row_idx bigint, text string")
+    asks = [(i, t) for i, t in enumerate(texts[:60])] + [(900, "w2 w1 nowhere w2"), (901, "nowhere"), (902, None)]
+    queries = spark.createDataFrame(asks, "qid int, query string")
+    toks = [(t or "").split() for t in texts]
+    avg, df = sum(map(len, toks)) / len(toks), {}
+    for t in toks:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    want = []
+    for q, text in asks:
+        terms, found = list(dict.fromkeys((text or "").split())), []
+        for i, t in enumerate(toks):
+            hit = [w for w in terms if w in t]
+            s = sum(round(math.log(1 + (len(toks) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) / 1e-12) for w in hit)
+            found += [(-(s * 1e-12), terms.index(hit[0]), i)] if hit else []
+        want += [(q, n, i, f) for n, (_, f, i) in enumerate(sorted(found)[:7], 1)]
+    got = bm25.search(queries, bm25.postings(items), bm25.corpus_stats(items), 7, digits=None)
+    assert sorted((r["qid"], r["rank"], r["row_idx"], r["first_pos"]) for r in got.collect()) == sorted(want)
+
+
+def test_search_takes_no_row_a_pair(spark):
+    """Pairs of queries and rows meet in blocks: no join or window of the plan has a row for each of them."""
+    from graphlode.operators import bm25, vectors
+
+    v = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(100)], "id int, row_idx int, embedding array<double>")
+    found = vectors.search_many(v, v.selectExpr("id AS qid", "embedding AS qvec"), 2)
+    items = spark.createDataFrame([(i, i, "a b c") for i in range(100)], "id int, row_idx int, text string")
+    lexical = bm25.search(items.selectExpr("id AS qid", "text AS query"), bm25.postings(items), bm25.corpus_stats(items), 2)
+    for df in (found, lexical):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "zip_with" not in plan
+        assert "qid" not in " ".join(x for x in plan.splitlines() if "Join" in x)
