@@ -340,3 +340,13 @@ def test_search_takes_no_row_a_pair(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "zip_with" not in plan
         assert "qid" not in " ".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_golds_that_queries_share(spark):
+    ranked = spark.createDataFrame([(q, "c", n, r) for q in (1, 2, 3) for r, n in enumerate((10, 11, 12), 1)], "qid int, config_key string, node int, rank int")
+    configs = spark.createDataFrame([("c",)], "config_key string")
+    own = [(1, [11, 12, 12]), (2, [11, 12]), (3, [])]
+    a = spark.createDataFrame([(q, g, "g", "p", "f", q) for q, g in own], "qid int, golds array<int>, grp string, product string, field string, seq int")
+    b = spark.createDataFrame([(1, "x", 2, "g", "p", "f", 1), (2, "x", 2, "g", "p", "f", 2), (3, None, 0, "g", "p", "f", 3)], "qid int, gold_key string, n_gold int, grp string, product string, field string, seq int")
+    golds = spark.createDataFrame([("x", 11), ("x", 12)], "gold_key string, node int")
+    assert sorted(metrics.per_query(ranked, a, configs).collect()) == sorted(metrics.per_query(ranked, b, configs, golds=golds).collect())
