@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.operators.graph import components
-from graphlode.operators.vectors import similar_pairs
+from graphlode.operators.vectors import similar_forest
 
 
 def clusters(vectors: DataFrame, threshold: float = 0.55, where: Column | None = None, cap: int | None = 2500, top: int = 25, label: str = "label") -> tuple[int, DataFrame, int]:
@@ -15,7 +15,7 @@ def clusters(vectors: DataFrame, threshold: float = 0.55, where: Column | None =
     n = rows.count()
     if cap is not None and n > cap:
         raise ValueError(f"{n} rows are more than the cap of {cap}")
-    found = components(similar_pairs(rows, threshold))
+    found = components(similar_forest(rows, threshold))
     members = found.join(rows.select(F.col("row_idx").alias("id"), F.col(label).cast("string").alias("label")), "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(top)
     best = members.join(F.broadcast(sizes), "root")  # top rows

@@ -350,3 +350,28 @@ def test_golds_that_queries_share(spark):
     b = spark.createDataFrame([(1, "x", 2, "g", "p", "f", 1), (2, "x", 2, "g", "p", "f", 2), (3, None, 0, "g", "p", "f", 3)], "qid int, gold_key string, n_gold int, grp string, product string, field string, seq int")
     golds = spark.createDataFrame([("x", 11), ("x", 12)], "gold_key string, node int")
     assert sorted(metrics.per_query(ranked, a, configs).collect()) == sorted(metrics.per_query(ranked, b, configs, golds=golds).collect())
+
+
+def test_pairs_and_forest_in_blocks(spark):
+    """All pairs, each once and in whichever blocks, with scores of a sum in order; the forest has the same components in fewer rows, and no plan has a row for each pair."""
+    rng = np.random.default_rng(4)
+    vec = [x.tolist() for x in rng.normal(size=(150, 5)).round(1)]
+    vec[3] = vec[77] = vec[78] = vec[149]
+    vec[9] = None
+    v = spark.createDataFrame([(f"i{i}", i, x) for i, x in enumerate(vec)] + [("again", 4, vec[4])], "id string, row_idx bigint, embedding array<double>")
+    want = []
+    rows = [*enumerate(vec), (4, vec[4])]
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and a and b:
+                s = 0.0
+                for x, y in zip(a, b, strict=True):
+                    s += x * y
+                want += [(i, j, s)] if s >= 5.0 else []
+    for blocks in (None, 1, 4):
+        assert sorted(map(tuple, vectors.similar_pairs(v, 5.0, blocks, digits=None).collect())) == sorted(want)
+        forest = vectors.similar_forest(v, 5.0, blocks)
+        assert {(r["a"], r["b"]) for r in forest.collect()} <= {x[:2] for x in want}
+        assert sorted(graph.components(forest).collect()) == sorted(graph.components(vectors.similar_pairs(v, 5.0)).collect())
+    assert vectors.similar_forest(v, 5.0, 1).count() < 151 < len(want)
+    assert "Join" not in vectors.similar_pairs(v, 5.0)._jdf.queryExecution().optimizedPlan().toString()
