@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlode.operators.bm25 import small
 from graphlode.operators.tables import stored
 
 
@@ -21,10 +20,17 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct edges (first seq) both of whose ends exist."""
-    ids = nodes.select("id")
-    once = edges.groupBy("src", "dst", "rel").agg(F.min("seq").alias("seq"))
-    return once.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "rel", "seq")
+    """Distinct edges (first seq) both of whose ends exist. Edges are exchanged by their source, where they are made distinct too, and by their end."""
+    ids = hashed(nodes.select("id"))
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    once = kept.groupBy("src", "dst", "rel").agg(F.min("seq").alias("seq"))
+    return once.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "rel", "seq")
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """df, the smaller side of a join, with a hint: broadcast if a count finds it small, else hashed partition by partition, so that the other side needs no sort."""
+    known = small(df)
+    return known if known is not df else df.hint("shuffle_hash")
 
 
 def neighbors(edges: DataFrame, node: str, direction: str = "out", rel: str | None = None) -> DataFrame:
@@ -52,32 +58,67 @@ def has_node(nodes: DataFrame, id_: str) -> bool:
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops: int | None = None) -> list[str] | None:
-    """Ids from a to b over edges of either direction, or None (also if more than max_hops edges are needed, where that is given). Each round joins the frontier and leaves out what was seen."""
+    """Ids from a to b over edges of either direction, or None (also if more than max_hops edges are needed, where that is given).
+
+    Frontiers grow from both ends, the one with fewer nodes first, until they meet; each round reads the edges once and exchanges none while its frontier is small.
+    Of the paths that are as short, each node's predecessor is the one with the first edge, as in a search from a alone."""
     if nodes.where(F.col("id").isin(a, b)).select("id").distinct().count() < len({a, b}):
         return None
     if a == b:
         return [a]
     spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).alias("way"), "seq").unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(1).alias("way"), "seq"))
-    both = stored(both, "both-ways")  # each round reads it
-    seen = frontier = stored(spark.createDataFrame([(a, None, 0)], "id string, parent string, depth int"), "bfs")
-    for depth in count(1):
-        if max_hops is not None and depth > max_hops:
+    start = [stored(spark.createDataFrame([(x, None)], "id string, parent string"), "bfs") for x in (a, b)]
+    layers, sizes, seen, links = [[start[0]], [start[1]]], [1, 1], [x.select("id") for x in start], []
+    while True:
+        if max_hops is not None and len(layers[0]) + len(layers[1]) - 1 > max_hops:
             return None
-        near = frontier.select(F.col("id").alias("u")).join(both, "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct("way", "seq", "u"))["u"].alias("parent"))
-        frontier = stored(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
-        if frontier.isEmpty():
+        side = int(sizes[1] < sizes[0])
+        fresh = touching(edges, layers[side][-1].select(F.col("id").alias("u"))).join(small(seen[side].withColumnRenamed("id", "v")), "v", "left_anti")
+        if side:  # which of these edges lie on the way is known when the frontiers meet
+            links.append(stored(fresh, "bfs-edges"))
+            layer = links[-1].select(F.col("v").alias("id")).distinct()
+        else:
+            layer = first_edges(fresh)
+        layer = stored(layer, "bfs")
+        layers[side].append(layer)
+        if not (n := layer.count()):
             return None
-        seen = seen.unionByName(frontier)
-        if not frontier.where(F.col("id") == b).isEmpty():
+        sizes[side], seen[side] = n, seen[side].unionByName(layer.select("id"))
+        on = layers[0][-1].select("id").join(layers[1][-1].select("id"), "id", "left_semi")
+        if not on.isEmpty():
             break
-    path, at = [b], b
-    while at != a:  # one point lookup for each hop
-        at = seen.where(F.col("id") == at).first()["parent"]
-        path.append(at)
+    # from where they met towards b: of each node between, the first edge from a node that lies on a shortest path too
+    steps = layers[0][1:]
+    for link in reversed(links):
+        back = link.join(small(stored(on, "bfs").withColumnRenamed("id", "v")), "v", "left_semi")
+        turned = back.select(F.col("v").alias("u"), F.col("u").alias("v"), (1 - F.col("way")).alias("way"), "seq")
+        steps.append(stored(first_edges(turned), "bfs"))
+        on = steps[-1].select("id")
+    path = [b]
+    for step in reversed(steps):  # one point lookup for each hop
+        path.append(step.where(F.col("id") == path[-1]).first()["parent"])
     return path[::-1]
 
 
+def first_edges(steps: DataFrame) -> DataFrame:
+    """id, parent: where each end of the steps(u, v, way, seq) is come from by its first edge."""
+    return steps.groupBy(F.col("v").alias("id")).agg(F.min(F.struct("way", "seq", "u"))["u"].alias("parent"))
+
+
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """u, v, way, seq of all edges with an end u in ids(u); way is 0 if u is the source."""
+    e, known = edges.select("src", "dst", "seq"), small(ids)
+    ways = [("src", "dst", 0), ("dst", "src", 1)]
+    if known is not ids:  # one pass; edges that touch none go no further
+        for x, _, way in ways:
+            e = e.join(known.withColumnRenamed("u", f"u{way}_"), F.col(x) == F.col(f"u{way}_"), "left")
+        e = e.where("u0_ IS NOT NULL OR u1_ IS NOT NULL")
+        both = F.array(*[F.when(F.col(f"u{way}_").isNotNull(), F.struct(F.col(x).alias("u"), F.col(y).alias("v"), F.lit(way).alias("way"), "seq")) for x, y, way in ways])
+        return e.select(F.explode(F.array_compact(both)).alias("s")).select("s.*")
+    parts = [e.join(ids, F.col(x) == F.col("u")).select("u", F.col(y).alias("v"), F.lit(way).alias("way"), "seq") for x, y, way in ways]
+    return parts[0].unionByName(parts[1])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root: the least id of each node's connected component. Labels spread to neighbours and jump to their label's label."""
     # the pairs may be costly: they are computed once, each way of an edge is a row of the same pass

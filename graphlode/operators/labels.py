@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlode.functions import text as tx
 from graphlode.operators.bm25 import small
+from graphlode.operators.graph import hashed
 
 FIELDS = ("title", "description", "keywords", "symptom")
 ORDER = {f: i for i, f in enumerate(("title", "description", "keywords", "tags", "symptom", "heading"))}
@@ -25,7 +26,8 @@ def symptoms(heading_items: DataFrame) -> DataFrame:
 
 def joined_labels(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
     """id, text: labels of the nodes an article points to by rel, in order of the edges."""
-    e = edges.where(F.col("rel") == rel).join(nodes.select(F.col("id").alias("dst"), "label"), "dst").where("label <> ''")
+    e = edges.where(F.col("rel") == rel).join(hashed(nodes.select(F.col("id").alias("dst"), "label").where("label <> ''")), "dst")
+    e = e.select("src", "seq", "label").repartition("src")  # lists don't shrink before the exchange
     return e.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x: x["label"]), " ").alias("text"))
 
 

@@ -375,3 +375,55 @@ def test_pairs_and_forest_in_blocks(spark):
         assert sorted(graph.components(forest).collect()) == sorted(graph.components(vectors.similar_pairs(v, 5.0)).collect())
     assert vectors.similar_forest(v, 5.0, 1).count() < 151 < len(want)
     assert "Join" not in vectors.similar_pairs(v, 5.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_from_both_ends(spark, monkeypatch):
+    """The path is the one of a search from a alone: each node's predecessor by way, seq and id; frontiers broadcast or not."""
+    from graphlode.operators import bm25
+
+    rng = np.random.default_rng(5)
+    rows = [(f"n{a}", f"n{b}", "R", int(rng.integers(0, 20))) for a, b in rng.integers(0, 60, size=(75, 2)).tolist()] + [("p", "q", "R", 0)]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(60)] + [("p",), ("q",)], "id string")
+    edges = spark.createDataFrame(rows, "src string, dst string, rel string, seq bigint")
+
+    def alone(a, b):
+        seen, front = {a: None}, [a]
+        while front and b not in seen:
+            best = {}
+            for u, v, way, seq in [(s, d, 0, q) for s, d, _, q in rows] + [(d, s, 1, q) for s, d, _, q in rows]:
+                if u in front and v not in seen:
+                    best[v] = min(best.get(v, (9, 0, "")), (way, seq, u))
+            seen |= {v: x[2] for v, x in best.items()}
+            front = [*best]
+        path = [b]
+        while b in seen and path[-1] != a:
+            path.append(seen[path[-1]])
+        return path[::-1] if b in seen else None
+
+    asked = [("n0", "n1"), ("n2", "n33"), ("n0", "p"), ("n5", "n40")]
+    want = [alone(*x) for x in asked]
+    assert want[2] is None and max(len(x) for x in want if x) > 4
+    assert [graph.shortest_path(nodes, edges, *x) for x in asked] == want
+    a, b = next(x for x, w in zip(asked, want, strict=True) if w and len(w) > 4)
+    hops = len(alone(a, b)) - 1
+    assert graph.shortest_path(nodes, edges, a, b, hops) == alone(a, b) and graph.shortest_path(nodes, edges, a, b, hops - 1) is None
+    monkeypatch.setattr(bm25, "BROADCAST_BYTES", -1)
+    assert graph.shortest_path(nodes, edges, a, b) == alone(a, b)
+    # edges of a small frontier are found without an exchange
+    monkeypatch.undo()
+    assert "Join Inner" not in graph.touching(edges, nodes.limit(1).withColumnRenamed("id", "u"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_are_exchanged_once_an_end(spark, monkeypatch):
+    """Rows as before: distinct, first seq, both ends there; in the plan edges are exchanged by src and by dst, and never sorted."""
+    from graphlode.operators import bm25
+
+    edges = spark.createDataFrame([("a", "b", "R", 3), ("a", "b", "R", 1), ("a", "b", "S", 2), ("a", "x", "R", 0), ("x", "b", "R", 0), ("b", "b", "R", 5), (None, "b", "R", 0)], "src string, dst string, rel string, seq int")
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    want = [("a", "b", "R", 1), ("a", "b", "S", 2), ("b", "b", "R", 5)]
+    assert sorted(map(tuple, graph.merge_edges(edges, nodes).collect())) == want
+    monkeypatch.setattr(bm25, "BROADCAST_BYTES", -1)
+    df = graph.merge_edges(edges, nodes)
+    assert sorted(map(tuple, df.collect())) == want
+    plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in plan[0] and plan[1].count("Exchange hashpartitioning") == 4
