@@ -33,3 +33,17 @@ def test_chunks():
     p = md.parse("---\ntitle: Same\n---\n# Same\n" + "word " * 30 + "\n## Small\nx", "f", s)
     assert len(p["chunks"]) == 1 and p["chunks"][0]["text"].startswith("Same\n\nword") and p["chunks"][0]["heading_path"] == ["Same"]
     assert md.parse("# only a heading that is long enough to be kept as a passage of its own here", "t")["chunks"][0]["heading_path"] == []
+
+
+def test_files_are_parsed_in_small_parts(spark):
+    """However large a batch is, a part has no more than SLICE bytes of text, or one row; all rows are in one part, in order."""
+    import pyarrow as pa
+
+    from graphlode.sources import markdown
+
+    texts = ["x" * n for n in (5, 5, 0, 30, 4, 4, 4, 100, 1)]
+    got = [b["content"].to_pylist() for b in markdown.slices(pa.RecordBatch.from_pydict({"content": texts}), "content", 12)]
+    assert [len(x) for g in got for x in g] == [len(x) for x in texts] and all(sum(map(len, g)) <= 12 or len(g) == 1 for g in got)
+    rows = spark.createDataFrame([(f"a/{i}.md", f"---\nk: [a, b]\ntitle: t{i}\n---\n# H{i}\n" + "word " * 40, i) for i in range(5)], "path string, content string, seq int")
+    found = markdown.parsed(rows).orderBy("seq").collect()
+    assert [(r["path"], r["parts"], r["title"], r["data"]["k"], r["headings"][0]["text"]) for r in found] == [(f"a/{i}.md", ["a", f"{i}.md"], f"t{i}", ["a", "b"], f"H{i}") for i in range(5)]
